@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm import mixing
+from stratafolio.llm import mixing, warc
 from stratafolio.session import table
 
 
@@ -33,5 +33,21 @@ drawn AS (SELECT w.doc_id, w.size, r.source_size, r.target, w.source,
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM drawn
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix}
-ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1}
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives with revisits, and read back."""
+    manifest = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+
+
+ORACLE_OP2 = r"""
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to, url AS target_uri
+FROM g
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc}
+ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2}
