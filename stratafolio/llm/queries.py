@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm import mixing, warc
+from stratafolio.llm import mixing, topk, warc
 from stratafolio.session import table
 
 
@@ -49,5 +49,20 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc}
-ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2}
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+ORACLE_OP3 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk}
+ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3}
