@@ -25,6 +25,8 @@ from stratafolio.llm._shared import open_fs, shared_dir
 PIECE = 1 << 18
 #: A hot payload's rows are split over so many salts before they are joined.
 SALTS = 64
+#: Reading tasks at most; beyond that a task reads several files.
+MOST_TASKS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
@@ -251,7 +253,8 @@ def read_warc(spark: SparkSession, manifest: DataFrame, *, strict: bool = True,
                 if rows:
                     yield _batch(rows, with_payload)
 
-    files = manifest.select("path").repartition(F.col("path"))
+    # a stated number of partitions: the few bytes of the manifest would else be coalesced into one task that reads every file
+    files = manifest.select("path").repartition(min(max(1, manifest.count()), MOST_TASKS), F.col("path"))
     return files.mapInArrow(task, schema)
 
 
