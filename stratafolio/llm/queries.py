@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm import mixing, quality, secrets, topk, warc
+from stratafolio.llm import mixing, quality, secrets, simhash, topk, warc
 from stratafolio.session import table
 
 
@@ -97,5 +97,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those at most 3 bits apart."""
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4}
