@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm import mixing, quality, secrets, simhash, topk, warc
+from stratafolio.llm import bpe, mixing, quality, secrets, simhash, topk, warc
 from stratafolio.session import table
 
 
@@ -102,5 +103,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by merge replay, and decoded."""
+    out = bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4}
