@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm import bpe, mixing, quality, secrets, simhash, topk, warc
+from stratafolio.llm import bpe, mixing, quality, secrets, simhash, tokenbin, topk, warc
 from stratafolio.session import table
 
 
@@ -109,5 +109,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+def op10_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written to binary files in the order of their ids, and read back."""
+    parts = tokenbin.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenbin.read_ids(parts).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op10_tokenbin": op10_tokenbin}
 ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4}
