@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm import bpe, langid, mixing, quality, secrets, simhash, tokenbin, topk, warc
+from stratafolio.llm import bpe, chunks, langid, mixing, quality, secrets, simhash, tokenbin, topk, warc
 from stratafolio.session import table
 
 
@@ -120,5 +120,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op10_tokenbin": op10_tokenbin}
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that occurred before."""
+    return chunks.repeated(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_words", "n_chunks")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_chunks": op9_chunks, "op10_tokenbin": op10_tokenbin}
 ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4}
