@@ -21,12 +21,12 @@ BROADCAST_ROWS = 1_000_000
 
 FEATURES = (
     "row long, doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "family long, lines array<struct<line:long,words:long>>"
+    "low long, low_next long, high long, high_next long, lines array<struct<line:long,words:long>>"
 )
 _LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
 _SCHEMA = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64())]
-    + [(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "family")]
+    + [(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "low", "low_next", "high", "high_next")]
     + [("lines", _LINES)]
 )
 
@@ -62,13 +62,15 @@ def text_features(data: bytes) -> dict:
             seen.add(line)
         key = int.from_bytes(hashlib.md5(b" ".join(own).lower()).digest()[:8], "big") >> 4
         lines[key] = lines.get(key, 0) + len(own)
+    order = sorted(lines)
+    two = order if len(order) > 1 else [*order, 0, 0][:2]
     return {
         "n_words": len(words),
         "word_chars": sum(map(len, map(bytes.decode, words))) if not data.isascii() else sum(map(len, words)),
         "n_symbols": sum(data.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))),
         "n_dup_lines": dup,
         "n_repeat_words": repeat_words(words),
-        "family": min(lines, default=0),
+        "low": two[0], "low_next": two[1], "high": order[-1] if order else 0, "high_next": two[-2] if len(order) > 1 else 0,
         "lines": [{"line": k, "words": n} for k, n in lines.items()],
     }
 
@@ -99,14 +101,19 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def common_lines(feats: DataFrame, *, min_docs: int = 10, share: float = 0.01) -> DataFrame:
     """Lines (host, line) that more than ``min_docs`` and more than ``share`` of a host's distinct documents have.
 
-    A document is known by the smallest hash of its lines, so copies, and near copies that kept that line, count once: a text
-    that is copied often isn't taken for boilerplate. A null host is a host of its own.
+    Copies are not distinct documents: a line's documents are told apart by the smallest hash of their other lines, and again by
+    the largest, and the larger count holds. Copies thus count once, and near copies once for each that had just that line
+    edited, so a text that is copied often isn't taken for boilerplate. A null host is a host of its own.
 
-    Both aggregations combine on the map side; a line that a third of the documents have costs a row per task.
+    The aggregations combine on the map side; a line that a third of the documents have costs few rows per task.
     """
-    occurrences = feats.select("host", "family", F.explode("lines").alias("l")).select("host", "family", "l.line")
-    counts = occurrences.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    hosts = feats.select("host", "family").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    occurrences = feats.select("host", "low", "low_next", "high", "high_next", F.explode("lines").alias("l")).select(
+        "host", "l.line", F.when(F.col("l.line") == F.col("low"), F.col("low_next")).otherwise(F.col("low")).alias("low"),
+        F.when(F.col("l.line") == F.col("high"), F.col("high_next")).otherwise(F.col("high")).alias("high"),
+    )
+    distinct = F.greatest(F.countDistinct("low"), F.countDistinct("high"))
+    counts = occurrences.groupBy("host", "line").agg(distinct.alias("docs"))
+    hosts = feats.groupBy("host").agg(distinct.alias("host_docs"))
     frequent = counts.filter(F.col("docs") > min_docs)
     named = hosts.select(F.col("host").alias("host_"), "host_docs")
     over = frequent.join(named, F.col("host").eqNullSafe(F.col("host_")))
@@ -127,7 +134,7 @@ def judged(feats: DataFrame, *, min_docs: int = 10, share: float = 0.01, min_wor
     hits = occurrences.join(F.broadcast(named) if small else named.hint("merge"), same)
     removed = hits.groupBy("row").agg(F.sum("words").alias("removed_words"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    out = feats.drop("lines", "family").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    out = feats.drop("lines", "low", "low_next", "high", "high_next").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     depleted = 100 * F.col("removed_words") > max_removed * F.col("n_words")
     return out.withColumn("base_failed", base).withColumn("kept", ~base & ~depleted)
 
