@@ -9,7 +9,7 @@ probability of 42 equal bits. Rows are shuffled by variant, and what meets is ve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from stratafolio.llm._shared import written
 
 RADIUS = 3
+#: Above this many rows to drop, they are joined by a shuffle; below it they are some 20 MB.
+BROADCAST_ROWS = 1_000_000
 #: The blocks of bit positions that variants leave out in turn.
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 #: Shingles that are unpacked to bits at once.
@@ -68,24 +70,30 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def variants(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and their fingerprints (both uint64): per block left out, the remainder's neighbours, and the remainder itself if
-    its parity is odd. Neighbours meet neighbours at distance two; at one, the odd remainder is a neighbour of the even one."""
+    """Keys (uint64) and the places in ``fps`` that emit them: per block left out, the remainder's neighbours, and the remainder
+    itself if its parity is odd. Neighbours meet neighbours at distance two; at one, the odd remainder is a neighbour of the
+    even one; equal ones share all neighbours."""
+    places = np.arange(len(fps))
     for b, (low, high) in enumerate(BLOCKS):
         mask = np.uint64((1 << high) - (1 << low))
         rest = fps & ~mask
         tag = np.uint64((b + 1) << low)  # in the bits left out, so that blocks don't mix
         flips = np.array([1 << i for i in range(64) if not low <= i < high], dtype=np.uint64)
-        yield ((rest[:, None] ^ flips[None, :]) | tag).ravel(), np.repeat(fps, len(flips))
+        yield ((rest[:, None] ^ flips[None, :]) | tag).ravel(), np.repeat(places, len(flips))
         odd = np.bitwise_count(rest) % 2 == 1
-        yield rest[odd] | tag, fps[odd]
+        yield rest[odd] | tag, places[odd]
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the fingerprints in all columns but the first, which names the node."""
     for batch in batches:
-        fps = batch.column("fp").to_numpy().view(np.uint64)
-        for at in range(0, len(fps), 2048):
-            for keys, own in variants(fps[at : at + 2048]):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own.view(np.int64))], ["key", "fp"])
+        node = batch.column(0).to_numpy()
+        for k in range(1, batch.num_columns):
+            fps = batch.column(k).to_numpy().view(np.uint64)
+            salt = np.uint64((k - 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            for at in range(0, len(fps), 2048):
+                for keys, places in variants(fps[at : at + 2048]):
+                    yield pa.RecordBatch.from_arrays([pa.array((keys ^ salt).view(np.int64)), pa.array(node[at + places])], ["key", "node"])
 
 
 def _forest(members: np.ndarray) -> list[tuple[int, int]]:
@@ -104,8 +112,14 @@ def _forest(members: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each key's run of a partition sorted by key. A run that the batch's end cuts is carried on."""
+def _meet(link: Callable[[np.ndarray], list[tuple[int, int]]], radius: int):
+    """A task that links the nodes of each key's run, in a partition sorted by key: two nodes if they differ in at most ``radius``
+    bits, more by ``link``."""
+    return lambda batches: _met(batches, link, radius)
+
+
+def _met(batches: Iterator[pa.RecordBatch], link: Callable[[np.ndarray], list[tuple[int, int]]], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links within each key's run. A run that the batch's end cuts is carried on."""
     held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def runs(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
@@ -113,10 +127,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[start, len(keys)])
         two = start[size == 2]
         a, b = fps[two], fps[two + 1]
-        near = np.bitwise_count(a ^ b) <= RADIUS
+        near = np.bitwise_count(a ^ b) <= radius
         links = [np.stack([a[near], b[near]], axis=1)]
-        for s, n in zip(start[size > 2], size[size > 2], strict=True):
-            if found := _forest(np.unique(fps[s : s + n])):
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if found := link(np.unique(fps[s : s + n])):
                 links.append(np.array(found, dtype=np.uint64))
         pairs = np.concatenate(links).view(np.int64)
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
@@ -124,7 +138,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys = np.concatenate([held_keys, batch.column("key").to_numpy()])
-        fps = np.concatenate([held, batch.column("fp").to_numpy().view(np.uint64)])
+        fps = np.concatenate([held, batch.column("node").to_numpy().view(np.uint64)])
         if not len(keys):
             continue
         cut = int(np.searchsorted(keys, keys[-1], side="left"))
@@ -141,8 +155,13 @@ def links(distinct: DataFrame) -> DataFrame:
     A key's fingerprints differ only in the block left out and two more bits, so what meets at a key is a family of near
     copies and never grows with the table as such; equal fingerprints were merged before.
     """
-    met = distinct.select("fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
-    return met.distinct()
+    return _links(distinct.select(F.col("fp").alias("node"), "fp"), _forest, RADIUS)
+
+
+def _links(nodes: DataFrame, link: Callable[[np.ndarray], list[tuple[int, int]]], radius: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes whose variants meet; ``nodes`` has the node first and its fingerprints after it."""
+    met = nodes.mapInArrow(_emit, "key long, node long").repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(_meet(link, radius), "a long, b long").distinct()
 
 
 # ----------------------------------------------------------------------------------------------------------- components
@@ -188,7 +207,8 @@ def linked(fps: DataFrame) -> DataFrame:
     named = roots.join(distinct, "fp")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     reached = named.select("fp", "root").join(least, "root").select("fp", "least_id")
-    table = distinct.join(reached, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # written, so that the last join has two plain shuffles below it and AQE can split a fingerprint with very many rows
+    table = written(distinct.join(reached, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "simhash-components")
     return own.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -196,3 +216,89 @@ def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, fingerprint (16 hex digits) and component_id of every document; no documents, no rows."""
     out = linked(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------------------------------------------------ near copies by similarity
+
+
+def _signature(data: bytes) -> tuple[int, int, int]:
+    """A text's key (of its lower-cased words in order) and two independent fingerprints of its distinct words.
+
+    An edited word changes one of them but five of the shingles, so near copies by shingles are few bits apart here.
+    """
+    words = data.lower().split()
+    key = xxhash.xxh3_64_intdigest(b" ".join(words), 42)
+    distinct = list(set(words))
+    ones = np.zeros(128)
+    for at in range(0, len(distinct), PIECE):
+        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in distinct[at : at + PIECE]]), np.uint8)
+        bits = np.unpackbits(digests).reshape(-1, 128)
+        ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
+    two = np.packbits(ones * 2 > len(distinct)).view(">i8")
+    return key - (1 << 64) if key >> 63 else key, int(two[0]), int(two[1])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        for at in range(0, len(batch), 1024):
+            rows = [_signature(x.as_py() or b"") for x in texts.slice(at, 1024)]
+            own = [batch.column(c).slice(at, 1024) for c in ("row", "doc_id")]
+            yield pa.RecordBatch.from_arrays(own + [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["row", "doc_id", "key", "f0", "f1"])
+
+
+def _stars(members: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a key's members to the least and to the next one: at most two a member, whatever the group's size."""
+    return [(members[0], x) for x in members[1:]] + list(zip(members[1:], members[2:], strict=False))
+
+
+def _shingle_hashes(words: int):
+    """A task that yields the sorted distinct hashes of each text's shingles."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            for at in range(0, len(batch), 256):
+                sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(x.as_py() or b"", words)], np.uint64).view(np.int64)) for x in texts.slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, 256), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
+
+    return task
+
+
+def near_copies(rows: DataFrame, *, text_col: str = "text", row_col: str = "row", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """row and keep_row for every row of a stored table that is a copy or near copy of another: ``keep_row`` is the one of its group
+    with the smallest id (null last), then the smallest row.
+
+    Texts with the same words in order are merged first. Two different ones are compared if their fingerprints meet, and linked
+    if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``; groups are chains of links.
+    """
+    named = rows.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = written(named.mapInArrow(_signatures, "row long, doc_id long, key long, f0 long, f1 long"), "near-signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))
+    distinct = written(base.groupBy("key").agg(F.min(order).alias("best"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.count(F.lit(1)).alias("n")), "near-distinct")
+    pairs = written(_links(distinct.select("key", "f0", "f1"), _stars, 64), "near-candidates")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(distinct.select("key", F.col("best.row").alias("row")), "key")
+    texts = named.select("row", "text").join(ends, "row").select("key", "text")
+    hashes = written(texts.mapInArrow(_shingle_hashes(words), "key long, hashes array<long>"), "near-shingles")
+    left, right = (hashes.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}_hashes")) for k in ("a", "b"))
+    both = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    jaccard = both / (F.size("a_hashes") + F.size("b_hashes") - both)
+    alike = pairs.join(left, "a").join(right, "b").filter(jaccard >= similarity).select("a", "b")
+    roots = components(alike).withColumnRenamed("node", "key")
+    grouped = distinct.join(roots, "key", "left").select("key", "best", F.coalesce("root", "key").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min("best").alias("kept"))
+    table = written(grouped.select("key", "root").join(kept, "root").select("key", F.col("kept.row").alias("keep_row")), "near-kept")
+    return base.select("row", "key").join(table, "key").select("row", "keep_row")
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with one row of each group of copies and near copies, in the columns of ``docs``.
+
+    Empty and null texts are copies of one another. The rows to drop are taken out by an anti join, broadcast while counted to
+    be few; texts are shuffled only beyond that.
+    """
+    rows = written(docs.withColumn("__sf_row", F.monotonically_increasing_id()), "near-documents")
+    found = near_copies(rows, text_col=text_col, row_col="__sf_row", id_col=id_col, words=words, similarity=similarity)
+    dropped = written(found.filter("row <> keep_row").select(F.col("row").alias("__sf_row")), "near-dropped")
+    small = dropped.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(dropped) if small else dropped.hint("merge"), "__sf_row", "left_anti").drop("__sf_row")
