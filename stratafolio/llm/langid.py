@@ -30,13 +30,13 @@ def counts(text: str) -> tuple[np.ndarray, bool]:
     The text is lower-cased, and every run of characters other than letters becomes one blank, so digits, symbols and layout
     don't count. A piece shares two characters with the one before it, so that no n-gram is lost between pieces.
     """
-    total, letters, tail = np.zeros(FEATURES), False, np.full(2, 32, np.uint32)
+    total, letters, tail, last = np.zeros(FEATURES), False, np.full(2, 32, np.uint32), False
     for at in range(0, len(text), PIECE):
         code = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
         solid = _letters()[np.minimum(code, 0x10FFFF)]
         letters |= bool(solid.any())
         code = np.where(solid, code, 32).astype(np.uint32)
-        keep = solid | np.r_[True, solid[:-1]]
+        keep, last = solid | np.r_[last, solid[:-1]], bool(solid[-1])
         code = np.concatenate([tail, code[keep]])
         one, two, three = code[2:], code[1:-1], code[:-2]
         a = one * np.uint32(0x9E3779B1)

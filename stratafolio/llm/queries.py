@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stratafolio.llm import bpe, chunks, langid, mixing, quality, secrets, simhash, tokenbin, topk, warc
 from stratafolio.session import table
 
@@ -77,10 +78,11 @@ raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM w),
 cut AS (SELECT *, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS lw FROM raw),
 line AS (SELECT doc_id, source, raw, len(lw) AS words, ('0x' || substr(md5(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS h
   FROM cut WHERE len(lw) > 0),
-family AS (SELECT doc_id, min(h) AS family, count(*) - count(DISTINCT raw) AS dup FROM line GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT coalesce(family, 0)) AS n FROM documents LEFT JOIN family USING (doc_id) GROUP BY source),
-common AS (SELECT l.source, h FROM line l JOIN family USING (doc_id) JOIN hosts o ON l.source IS NOT DISTINCT FROM o.source GROUP BY l.source, h, n
-  HAVING count(DISTINCT family) > 10 AND count(DISTINCT family) > 0.01::DOUBLE * n),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS dup FROM line GROUP BY doc_id),
+o AS (SELECT doc_id, list_sort(list(DISTINCT h)) AS o FROM line GROUP BY doc_id),
+hosts AS (SELECT source, greatest(count(DISTINCT coalesce(o[1], 0)), count(DISTINCT coalesce(o[-1], 0))) AS n FROM documents LEFT JOIN o USING (doc_id) GROUP BY source),
+common AS (SELECT l.source, h FROM line l JOIN o USING (doc_id) JOIN hosts t ON l.source IS NOT DISTINCT FROM t.source GROUP BY l.source, h, n
+  HAVING greatest(count(DISTINCT coalesce(CASE WHEN h = o[1] THEN o[2] ELSE o[1] END, 0)), count(DISTINCT coalesce(CASE WHEN h = o[-1] THEN o[-2] ELSE o[-1] END, 0))) > greatest(10, 0.01::DOUBLE * n)),
 removed AS (SELECT doc_id, sum(words)::BIGINT AS removed FROM line l JOIN common c ON l.h = c.h AND l.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows),
@@ -88,7 +90,7 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 s AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(f.dup, 0)::BIGINT AS n_dup_lines,
   coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(r.removed, 0)::BIGINT AS removed_words
-  FROM w LEFT JOIN family f USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (doc_id)),
+  FROM w LEFT JOIN dup f USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT 100 * removed_words > 50 * n_words AS kept, removed_words FROM b
 """
@@ -125,5 +127,5 @@ def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_words", "n_chunks")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_chunks": op9_chunks, "op10_tokenbin": op10_tokenbin}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_chunks": op9_chunks, "op10_tokenbin": op10_tokenbin, "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4}
