@@ -1 +1,52 @@
-"""Queries."""
+"""Queries of the diff operators. Documents of the same source and language, taken in turn, are the versions of a pair."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stratafolio.operators import diff as D
+from stratafolio.plans.registry import query
+from stratafolio.session import table
+
+
+def pairs(spark, sf):
+    docs = table(spark, sf, "documents")
+    twice = docs.groupBy("text").agg(F.min("doc_id").alias("pair_id"))
+    w = Window.partitionBy(F.substring("text", 1, 20)).orderBy("pair_id")
+    near = twice.withColumn("old", F.lag("text").over(w)).filter("old IS NOT NULL")
+    return near.select("pair_id", "old", F.col("text").alias("new"))
+
+
+@query("a9_compare")
+def a9(spark, sf):
+    return D.changes(pairs(spark, sf))
+
+
+@query("a10_one_sided", """WITH l AS (SELECT DISTINCT doc_id % 2 AS side, source, unnest(string_split(text, chr(10))) AS line, doc_id FROM documents),
+  g AS (SELECT source, line, list_sort(list(DISTINCT side)) AS sides, count(*) AS times FROM l GROUP BY ALL) SELECT source, md5(line) AS line, times, sides[1] AS side FROM g WHERE len(sides) = 1""")
+def a10(spark, sf):
+    l = table(spark, sf, "documents").select((F.col("doc_id") % 2).alias("side"), "source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct()  # noqa: E741
+    return D.one_sided(l, "side", "line", ["source"]).withColumn("line", F.md5(F.col("line").cast("binary")))
+
+
+@query("a15_style_changes", """WITH a AS (SELECT n_nationkey AS k, n_regionkey AS v FROM nation WHERE n_nationkey < 20), b AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 9 ELSE n_regionkey END AS v FROM nation WHERE n_nationkey > 4)
+  SELECT k, a.v AS old, b.v AS new FROM a FULL JOIN b USING (k) WHERE a.v IS DISTINCT FROM b.v""")
+def a15(spark, sf):
+    n = table(spark, sf, "nation")
+    a = n.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("old"))
+    b = n.filter("n_nationkey > 4").select(F.col("n_nationkey").alias("k"), F.when(F.col("n_nationkey") % 3 == 0, 9).otherwise(F.col("n_regionkey")).alias("new"))
+    return a.join(b, "k", "full").filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+@query("a19_section_signal", """WITH s AS (SELECT l_orderkey, l_returnflag, sha256(array_to_string(list(length(l_shipdate::DATE::VARCHAR) || ':' || l_shipdate::DATE::VARCHAR ORDER BY l_shipdate), '')) AS signature FROM lineitem GROUP BY ALL) SELECT * FROM s""")
+def a19(spark, sf):
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    signed = F.concat(F.length(day).cast("string"), F.lit(":"), day)
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(signed)), "").cast("binary"), 256).alias("signature"))
+
+
+@query("a23_review_state", """WITH last AS (SELECT user_id, event_type, arg_max(value > 25, event_id) AS done FROM events GROUP BY ALL) SELECT user_id, CASE WHEN bool_and(done) THEN 'REVIEWED' WHEN bool_or(done) THEN 'PARTIAL' ELSE 'UNREVIEWED' END AS state FROM last GROUP BY user_id""")
+def a23(spark, sf):
+    last = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by(F.col("value") > 25, "event_id").alias("done"))
+    return last.groupBy("user_id").agg(F.when(F.bool_and("done"), "REVIEWED").when(F.bool_or("done"), "PARTIAL").otherwise("UNREVIEWED").alias("state"))
