@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from stratafolio.plans.windows import items, with_items
 from stratafolio.session import table
 from stratafolio.sources.lines import lines
 
+LOWER, UPPER = string.ascii_lowercase, string.ascii_uppercase
+
 
 @query("sc9_atoms", with_items("""WITH b AS (SELECT doc, ord, CASE WHEN abs(l_quantity - lag(l_quantity) OVER (PARTITION BY doc ORDER BY ord)) <= 8 THEN 0 ELSE 1 END AS fresh FROM items), g AS (SELECT doc, ord, sum(fresh) OVER (PARTITION BY doc ORDER BY ord)::BIGINT AS row FROM b)
   SELECT doc, ord, row, row_number() OVER (PARTITION BY doc, row ORDER BY ord) AS segment, printf('L%04d:S%d', row, row_number() OVER (PARTITION BY doc, row ORDER BY ord)) AS alias FROM g"""))
@@ -90,7 +94,7 @@ def d18(spark, sf):
     return M.inherited(k, ["doc"], "ord", "up", "v").select("doc", "ord", "effective")
 
 
-@query("b3_quote_binding", f"""WITH {LINES}, q AS (SELECT doc_id, ord AS unit, CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 3, 12)) ELSE substr(text, 3, 12) END AS quote FROM l WHERE ord = 2 AND length(text) > 20),
+@query("b3_quote_binding", f"""WITH {LINES}, q AS (SELECT doc_id, ord AS unit, CASE WHEN doc_id % 3 = 0 THEN translate(substr(text, 3, 12), '{LOWER}', '{UPPER}') ELSE substr(text, 3, 12) END AS quote FROM l WHERE ord = 2 AND length(text) > 20),
   s AS (SELECT q.doc_id, unit, l.ord AS lo, (length(text) - length(replace(text, quote, ''))) // length(quote) AS n, (length(text) - length(replace(lower(text), lower(quote), ''))) // length(quote) AS m FROM q JOIN l ON l.doc_id = q.doc_id AND abs(l.ord - q.unit) <= 3),
   f AS (SELECT doc_id, unit, coalesce(sum(n) FILTER (lo = unit), 0) AS here, sum(n) AS near, coalesce(sum(m) FILTER (lo = unit), 0) AS folded, min(lo) FILTER (n > 0) AS first FROM s GROUP BY ALL),
   t AS (SELECT *, CASE WHEN here = 1 THEN 'EXACT' WHEN here > 1 THEN 'AMBIGUOUS' WHEN near = 1 THEN 'NEIGHBOUR' WHEN folded = 1 THEN 'FOLDED' ELSE 'MISSING' END AS status FROM f)
@@ -98,7 +102,7 @@ def d18(spark, sf):
 def b3(spark, sf):
     l = lines(table(spark, sf, "documents")).select("doc_id", "ord", "text")  # noqa: E741
     part = F.substring("text", 3, 12)
-    q = l.filter((F.col("ord") == 2) & (F.length("text") > 20)).select("doc_id", F.lit(1).alias("q_id"), F.col("ord").alias("unit"), F.when(F.col("doc_id") % 3 == 0, F.upper(part)).otherwise(part).alias("quote"))
+    q = l.filter((F.col("ord") == 2) & (F.length("text") > 20)).select("doc_id", F.lit(1).alias("q_id"), F.col("ord").alias("unit"), F.when(F.col("doc_id") % 3 == 0, F.translate(part, LOWER, UPPER)).otherwise(part).alias("quote"))
     return M.bound(q, l, ["doc_id"]).select("doc_id", "status", "bound_unit")
 
 
