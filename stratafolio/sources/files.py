@@ -5,9 +5,9 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,14 +92,21 @@ def read_paragraphs(content: bytes) -> list[dict]:
 def paragraphs(found: DataFrame) -> DataFrame:
     """A row per paragraph of the Word files among ``found`` (path, content); a file is read by one call, and faults are rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in PARAGRAPHS.split(", ")]
+    return _rows(found, read_paragraphs, PARAGRAPHS)
+
+
+def _rows(found: DataFrame, read: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+    """What ``read`` finds in each file, one row each, with the file's path."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                frame = pd.DataFrame([{"path": path, **r} for r in read_paragraphs(bytes(content))], columns=columns)
-                yield frame.astype({"ord": "Int32", "num_level": "Int32", "bold": "boolean"})
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = [{k: ({"path": path} | r).get(k) for k in arrow.names} for r in read(content or b"")]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return found.select("path", "content").mapInPandas(run, PARAGRAPHS)
+    return found.select("path", "content").mapInArrow(run, schema)
 
 
 def read_revisions(content: bytes) -> list[dict]:
@@ -120,13 +127,7 @@ def read_revisions(content: bytes) -> list[dict]:
 def revisions(found: DataFrame) -> DataFrame:
     """A row per tracked revision of the Word files among ``found``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in REVISIONS.split(", ")]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([{"path": path, **r} for r in read_revisions(bytes(content))], columns=columns).astype({"ord": "Int32"})
-
-    return found.select("path", "content").mapInPandas(run, REVISIONS)
+    return _rows(found, read_revisions, REVISIONS)
 
 
 def ocr_lines(words: DataFrame) -> DataFrame:
