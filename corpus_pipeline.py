@@ -13,16 +13,26 @@ from pyspark.sql import functions as F
 from stratafolio.llm import bpe, mixing, quality, secrets, simhash
 from stratafolio.llm._shared import written
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most ``BATCH_ROWS``: an executor that has run every stage before has a full heap, and
+    Arrow's buffers, outside it, grow with a batch's texts. A smaller setting of the session stays."""
+    if int(spark.conf.get(BATCH_SETTING)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the text rules or lose most words to lines that many documents of their source share."""
+    small_batches(spark)
     return quality.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near copies (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     return simhash.without_copies(docs)
 
 
@@ -38,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (unsigned 32-bit little-endian integers as bytes), and digests of them and of what they decode to."""
+    small_batches(spark)
     out = bpe.encoded(docs, VOCABULARY)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

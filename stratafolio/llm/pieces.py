@@ -16,7 +16,7 @@ import regex
 
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
 #: A block of texts that is cut and encoded at once has about so many bytes; a longer text is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 @cache
