@@ -247,9 +247,80 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(own + [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["row", "doc_id", "key", "f0", "f1"])
 
 
-def _stars(members: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a key's members to the least and to the next one: at most two a member, whatever the group's size."""
-    return [(members[0], x) for x in members[1:]] + list(zip(members[1:], members[2:], strict=False))
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct nodes (sorted) of each key's run, where there are two or more, in a partition sorted by key; ``family`` is a
+    hash of them. Texts that meet at one key mostly meet at many, so equal families are dropped at once."""
+    held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def runs(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+        size = np.diff(np.r_[start, len(keys)])
+        found = {}
+        for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            if len(own := np.unique(nodes[s : s + n])) > 1:
+                found[xxhash.xxh3_64_intdigest(own.tobytes())] = own
+        names = pa.array(np.array(list(found), np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([names, pa.array(list(found.values()), pa.list_(pa.int64()))], ["family", "nodes"])
+
+    for batch in batches:
+        keys = np.concatenate([held_keys, batch.column("key").to_numpy()])
+        nodes = np.concatenate([held, batch.column("node").to_numpy()])
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))
+        held_keys, held = keys[cut:], nodes[cut:]
+        yield runs(keys[:cut], nodes[:cut])
+    yield runs(held_keys, held)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a family's nodes with the least and with the next one: at most two a node. What they leave unlinked is for
+    :func:`_across`."""
+    for batch in batches:
+        pairs = [np.zeros((0, 2), np.int64)]
+        for own in batch.column("nodes"):
+            x = own.values.to_numpy()
+            pairs += [np.stack([np.full(len(x) - 1, x[0]), x[1:]], axis=1), np.stack([x[1:-1], x[2:]], axis=1)]
+        yield _pairs(np.unique(np.concatenate(pairs), axis=0))
+
+
+def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _across(similarity: float, most: int | None):
+    """A task that yields the pairs of a family's nodes that no chain of links joins yet: of every node outside the largest
+    group with ``most`` nodes of that group, or, without ``most``, of any two groups, but for those whose numbers of shingles
+    alone keep them below ``similarity``."""
+
+    def family(root: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+        if most:
+            names, counts = np.unique(root, return_counts=True)
+            inside = root == names[np.argmax(counts)]
+            some = np.sort(node[inside])[np.unique(np.linspace(0, inside.sum() - 1, most).astype(int))]
+            yield np.stack([np.repeat(node[~inside], len(some)), np.tile(some, int((~inside).sum()))], axis=1)
+            return
+        order = np.argsort(n, kind="stable")
+        root, node, n = root[order], node[order], n[order]
+        end = np.searchsorted(n * similarity, n + 1e-6, side="right")
+        for i in range(len(n) - 1):
+            other = node[i + 1 : end[i]][root[i + 1 : end[i]] != root[i]]
+            if len(other):
+                yield np.stack([np.full(len(other), node[i]), other], axis=1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [np.zeros((0, 2), np.int64)], 0
+            for own in batch.column("members"):
+                for pairs in family(*(own.values.field(k).to_numpy() for k in range(3))):
+                    held.append(pairs)
+                    size += len(pairs)
+                    if size > PIECE:
+                        yield _pairs(np.sort(np.concatenate(held), axis=1))
+                        held, size = held[:1], 0
+            yield _pairs(np.unique(np.sort(np.concatenate(held), axis=1), axis=0))
+
+    return task
 
 
 def _shingle_hashes(words: int):
@@ -271,20 +342,35 @@ def near_copies(rows: DataFrame, *, text_col: str = "text", row_col: str = "row"
 
     Texts with the same words in order are merged first. Two different ones are compared if their fingerprints meet, and linked
     if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``; groups are chains of links.
+    Whatever meets is compared unless links join it already: first with two others, then, if still apart, with some of the largest
+    group it meets, at last with all. Only the last step grows with the square of a family of unlike texts of like words.
     """
     named = rows.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = written(named.mapInArrow(_signatures, "row long, doc_id long, key long, f0 long, f1 long"), "near-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))
     distinct = written(base.groupBy("key").agg(F.min(order).alias("best"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.count(F.lit(1)).alias("n")), "near-distinct")
-    pairs = written(_links(distinct.select("key", "f0", "f1"), _stars, 64), "near-candidates")
+    met = distinct.select("key", "f0", "f1").mapInArrow(_emit, "key long, node long").repartition("key").sortWithinPartitions("key")
+    families = written(met.mapInArrow(_families, "family long, nodes array<long>").groupBy("family").agg(F.first("nodes").alias("nodes")), "near-families")
+    pairs = written(families.mapInArrow(_stars, "a long, b long").distinct(), "near-candidates")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(distinct.select("key", F.col("best.row").alias("row")), "key")
     texts = named.select("row", "text").join(ends, "row").select("key", "text")
     hashes = written(texts.mapInArrow(_shingle_hashes(words), "key long, hashes array<long>"), "near-shingles")
     left, right = (hashes.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}_hashes")) for k in ("a", "b"))
     both = F.size(F.array_intersect("a_hashes", "b_hashes"))
     jaccard = both / (F.size("a_hashes") + F.size("b_hashes") - both)
-    alike = pairs.join(left, "a").join(right, "b").filter(jaccard >= similarity).select("a", "b")
-    roots = components(alike).withColumnRenamed("node", "key")
+    alike = lambda found: found.join(left, "a").join(right, "b").filter(jaccard >= similarity).select("a", "b")
+    links = written(alike(pairs), "near-links")
+    roots = components(links).withColumnRenamed("node", "key")
+    each = families.filter(F.size("nodes") > 2).select("family", F.explode("nodes").alias("key")).join(hashes.select("key", F.size("hashes").cast("long").alias("n")), "key")
+    for most in (8, None):
+        labelled = each.join(roots, "key", "left").select("family", F.coalesce("root", "key").alias("root"), "key", "n")
+        parted = labelled.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("family")
+        members = written(labelled.join(parted, "family").groupBy("family").agg(F.collect_list(F.struct("root", "key", "n")).alias("members")), "near-parted")
+        if members.isEmpty():
+            break
+        more = members.repartition("family").mapInArrow(_across(similarity, most), "a long, b long").distinct()
+        links = written(links.union(alike(more)), "near-links")
+        roots = components(links).withColumnRenamed("node", "key")
     grouped = distinct.join(roots, "key", "left").select("key", "best", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("best").alias("kept"))
     table = written(grouped.select("key", "root").join(kept, "root").select("key", F.col("kept.row").alias("keep_row")), "near-kept")

@@ -297,6 +297,16 @@ def test_near_copies(spark, odd_docs, no_docs):
     assert simhash.without_copies(no_docs).count() == 0
 
 
+def test_near_copies_among_texts_of_like_words(spark):
+    rng, rows = random.Random(4), []
+    for i in range(12):
+        text = words(120, 1).split()
+        rng.shuffle(text)
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join([*text, text[0]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.without_copies(docs).collect()) == [10 * i for i in range(12)]
+
+
 # ------------------------------------------------------------------------------------------------------------------- 7 BPE
 
 
