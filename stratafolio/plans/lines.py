@@ -55,3 +55,11 @@ def w20(spark, sf):
     from stratafolio.operators.segments import block_cosine
 
     return block_cosine(lines(table(spark, sf, "documents").filter("doc_id < 400")), 2)
+
+
+@query("w20_block_cosine_all")
+def w20_all(spark, sf):
+    """Over all documents; the SQL of w20_block_cosine has some of them."""
+    from stratafolio.operators.segments import block_cosine
+
+    return block_cosine(lines(table(spark, sf, "documents")), 2)
