@@ -28,3 +28,13 @@ def test_block_cosine_of_all_documents(spark, texts):
                 want[doc, gap] = len(a & b) / sqrt(len(a) * len(b))
     got = {(r["doc_id"], r["gap"]): r["cosine"] for r in registry.QUERIES["w20_block_cosine_all"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-6) and max(d for d, _ in got) >= 400
+
+
+def test_similar_pairs_of_all_parts(spark):
+    brands = defaultdict(list)
+    for r in table(spark, SF, "part").select("p_brand", "p_partkey", "p_name", "p_type").collect():
+        brands[r["p_brand"]].append((r["p_partkey"], set(re.findall("[a-z]+", f"{r['p_name']} {r['p_type'].lower()}"))))
+    pairs = {(x[0], y[0]): 2 * len(x[1] & y[1]) / (len(x[1]) + len(y[1])) for rows in brands.values() for x, y in combinations(sorted(rows, key=lambda v: v[0]), 2)}
+    want = {k: v for k, v in pairs.items() if v >= 0.5}
+    got = {(r["id"], r["id_b"]): r["dice"] for r in registry.QUERIES["j9_similar_pairs_all"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and max(b for _, b in got) > 600
