@@ -64,6 +64,12 @@ def d17(spark, sf):
     return table(spark, sf, "documents").filter("length(text) < 3000").select("doc_id", T.doubled_share(F.col("text")).alias("share")).filter("share IS NOT NULL")
 
 
+@query("d17_doubled_all")
+def d17_all(spark, sf):
+    """Over texts of any length; the SQL of d17_doubled has the short ones."""
+    return table(spark, sf, "documents").select("doc_id", T.doubled_share(F.col("text")).alias("share")).filter("share IS NOT NULL")
+
+
 @query("sc3_content_hash", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::INT AS bytes FROM documents")
 def sc3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").alias("bytes"))

@@ -38,3 +38,10 @@ def test_similar_pairs_of_all_parts(spark):
     want = {k: v for k, v in pairs.items() if v >= 0.5}
     got = {(r["id"], r["id_b"]): r["dice"] for r in registry.QUERIES["j9_similar_pairs_all"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-6) and max(b for _, b in got) > 600
+
+
+def test_doubled_letters_of_long_texts(spark, texts):
+    letters = {d: [c for c in t.lower() if c.isalpha()] for d, t in texts.items()}
+    want = {d: sum(a == b for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1) for d, t in letters.items() if len(t) >= 12}
+    got = {r["doc_id"]: r["share"] for r in registry.QUERIES["d17_doubled_all"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and any(len(texts[d]) >= 3000 for d in got)
