@@ -27,7 +27,17 @@ def ag1(spark, sf):
   g AS (SELECT doc, key, count(*) AS n, count(DISTINCT page) AS pages, min(page) AS first_page, max(page) AS last_page FROM k WHERE length(key) > 0 GROUP BY doc, key)
   SELECT k.doc, page, ord, coalesce(n - 1, 0) AS others, pages, first_page, last_page FROM k LEFT JOIN g USING (doc, key)""")
 def ag2(spark, sf):
-    docs = table(spark, sf, "documents").filter("lang = 'en'").select((F.col("doc_id") % 50).alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return repeated_text(table(spark, sf, "documents").filter("lang = 'en'"))
+
+
+@query("ag2_repeated_text_all")
+def ag2_all(spark, sf):
+    """Over documents of all languages and of none; the SQL of ag2_repeated_text has the English ones."""
+    return repeated_text(table(spark, sf, "documents"))
+
+
+def repeated_text(documents):
+    docs = documents.select((F.col("doc_id") % 50).alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     key = F.lower(F.regexp_replace("text", "[0-9]+", "#"))
     out = A.repeats(docs.withColumn("ord", F.col("ord") + 1), ["doc"], key, "page")
     return out.select("doc", "page", "ord", "others", "pages", "first_page", "last_page")

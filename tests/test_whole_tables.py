@@ -45,3 +45,10 @@ def test_doubled_letters_of_long_texts(spark, texts):
     want = {d: sum(a == b for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1) for d, t in letters.items() if len(t) >= 12}
     got = {r["doc_id"]: r["share"] for r in registry.QUERIES["d17_doubled_all"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-9) and any(len(texts[d]) >= 3000 for d in got)
+
+
+def test_repeated_text_of_all_languages(spark, texts):
+    keys = {(d, i): re.sub("[0-9]+", "#", x).lower() for d, t in texts.items() for i, x in enumerate(t.split("\n"), 1)}
+    counts = Counter((d % 50, k) for (d, _), k in keys.items())
+    got = {(r["page"], r["ord"]): r["others"] for r in registry.QUERIES["ag2_repeated_text_all"](spark, SF).collect()}
+    assert got == {(d, i): counts[d % 50, k] - 1 if k else 0 for (d, i), k in keys.items()}
