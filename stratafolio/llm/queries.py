@@ -74,15 +74,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_OP4 = r"""
 WITH w AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS t FROM documents),
-raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM w),
+raw AS (SELECT doc_id, source, md5(t) AS t, unnest(string_split(t, chr(10))) AS raw FROM w),
 cut AS (SELECT *, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS lw FROM raw),
-line AS (SELECT doc_id, source, raw, len(lw) AS words, ('0x' || substr(md5(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS h
+line AS (SELECT doc_id, source, t, raw, len(lw) AS words, ('0x' || substr(md5(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS h
   FROM cut WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS dup FROM line GROUP BY doc_id),
-o AS (SELECT doc_id, list_sort(list(DISTINCT h)) AS o FROM line GROUP BY doc_id),
-hosts AS (SELECT source, greatest(count(DISTINCT coalesce(o[1], 0)), count(DISTINCT coalesce(o[-1], 0))) AS n FROM documents LEFT JOIN o USING (doc_id) GROUP BY source),
-common AS (SELECT l.source, h FROM line l JOIN o USING (doc_id) JOIN hosts t ON l.source IS NOT DISTINCT FROM t.source GROUP BY l.source, h, n
-  HAVING greatest(count(DISTINCT coalesce(CASE WHEN h = o[1] THEN o[2] ELSE o[1] END, 0)), count(DISTINCT coalesce(CASE WHEN h = o[-1] THEN o[-2] ELSE o[-1] END, 0))) > greatest(10, 0.01::DOUBLE * n)),
+hosts AS (SELECT source, count(DISTINCT coalesce(text, '')) AS n FROM documents GROUP BY source),
+common AS (SELECT l.source, h FROM line l JOIN hosts k ON l.source IS NOT DISTINCT FROM k.source GROUP BY l.source, h, n
+  HAVING count(DISTINCT t) > greatest(10, 0.01::DOUBLE * n)),
 removed AS (SELECT doc_id, sum(words)::BIGINT AS removed FROM line l JOIN common c ON l.h = c.h AND l.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows),
