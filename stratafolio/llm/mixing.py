@@ -18,9 +18,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, doc_id: Column) -> Column:
-    """A number in [0, 1) with 52 bits, from MD5 of the seed and the id: the same in every run and on every cluster."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) with 52 bits, from MD5 of the seed, the id and the text's MD5: the same in every run and on every cluster.
+
+    The text tells rows without an id, or with the same one, apart; rows that agree in both share a draw.
+    """
+    own = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), own).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -62,6 +66,19 @@ def ranked_weights(sizes: DataFrame, cycle: tuple[float, ...] = (5, 2, 1)) -> Da
     return sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (place % len(cycle) + 1).cast("int")))
 
 
+def rates(docs: DataFrame, weights: DataFrame | None = None, *, text_col: str = "text", source_col: str = "source", max_repeats: float = 3.0) -> DataFrame:
+    """source, source_size, target and rate, a row per source, written to the shared folder."""
+    words = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sizes = words.groupBy("source").agg(F.sum("size").alias("source_size"))
+    if weights is None:
+        sizes = ranked_weights(sizes)
+    else:
+        named = weights.select(F.col("source").alias("source_"), "weight")
+        sizes = sizes.join(named, F.col("source").eqNullSafe(F.col("source_")), "left").select("source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(0.0))
+    return written(targets(sizes, max_repeats).select("source", "source_size", "target", rate.alias("rate")), "mix-sources")
+
+
 def mix_plan(
     docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     max_repeats: float = 3.0, seed: int = 42,
@@ -70,41 +87,34 @@ def mix_plan(
 
     ``weights`` has (source, weight); without it the weights 5, 2, 1 repeat over the sources in order. A document is taken
     floor(rate) times, rate = target / source_size, and once more if its hash-seeded number lies below the fraction.
-    Null and empty texts have size 0; a null source is a source of its own; rows that repeat a doc_id share one draw; an empty
+    Null and empty texts have size 0; a null source is a source of its own; rows that agree in doc_id and text share one draw; an empty
     table gives an empty plan. Only the columns named are read, so others may have any names.
 
     Per-source sums are partially aggregated before they are shuffled, so a source with most of the rows costs no more; the
     table of sources is broadcast only if counted to be small, else joined by a shuffle that AQE may split.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = words.groupBy("source").agg(F.sum("size").alias("source_size"))
-    if weights is None:
-        sizes = ranked_weights(sizes)
-    else:
-        named = weights.select(F.col("source").alias("source_"), "weight")
-        sizes = sizes.join(named, F.col("source").eqNullSafe(F.col("source_")), "left").select("source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    plan = written(targets(sizes, max_repeats), "mix-sources")
+    words = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(seed, F.col(id_col), F.col(text_col)).alias("draw")
+    )
+    plan = rates(docs, weights, text_col=text_col, source_col=source_col, max_repeats=max_repeats)
     small = plan.count() <= BROADCAST_SOURCES
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(0.0))
-    named = plan.select(F.col("source").alias("source_"), "source_size", "target", rate.alias("rate"))
+    named = plan.select(F.col("source").alias("source_"), "source_size", "target", "rate")
     joined = words.join(F.broadcast(named) if small else named.hint("merge"), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
-    copies = F.floor("rate") + (uniform(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("draw")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float = 3.0, seed: int = 42) -> DataFrame:
     """The documents themselves, each row as often as its plan says, with all columns of ``docs`` and no others.
 
-    The plan's rate depends on the source alone, so it is joined by source and the text is not shuffled. Options as in
-    :func:`mix_plan`.
+    The plan's rate depends on the source alone, so it is joined by source and the text is not shuffled. Nulls, ties, repeated rows
+    and empty tables as in :func:`mix_plan`.
     """
-    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    seed = options.get("seed", 42)
-    rates = written(mix_plan(docs, weights, **options).groupBy("source").agg(F.max("rate").alias("rate")), "mix-rates")
-    small = rates.count() <= BROADCAST_SOURCES
-    named = rates.select(F.col("source").alias("__sf_source"), F.col("rate").alias("__sf_rate"))
+    plan = rates(docs, weights, text_col=text_col, source_col=source_col, max_repeats=max_repeats)
+    small = plan.count() <= BROADCAST_SOURCES
+    named = plan.select(F.col("source").alias("__sf_source"), F.col("rate").alias("__sf_rate"))
     joined = docs.join(F.broadcast(named) if small else named.hint("merge"), F.col(source_col).eqNullSafe(F.col("__sf_source")), "inner")
     rate = F.col("__sf_rate")
-    copies = (F.floor(rate) + (uniform(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")).cast("int")
+    copies = (F.floor(rate) + (uniform(seed, F.col(id_col), F.col(text_col)) < rate - F.floor(rate)).cast("long")).cast("int")
     repeated = joined.withColumn("__sf_copies", copies).filter("__sf_copies > 0").withColumn("__sf_copy", F.explode(F.expr("sequence(1, __sf_copies)")))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
