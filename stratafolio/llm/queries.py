@@ -19,7 +19,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP1 = r"""
-WITH words AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH words AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS own FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM words GROUP BY source),
 ranked AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sizes),
 caps AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::BIGINT AS total FROM ranked),
@@ -30,7 +30,7 @@ summed AS (SELECT *, coalesce(sum(cap) FILTER (capped) OVER (), 0) AS capped_sum
 plan AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * (total - capped_sum) / free_weight END AS target FROM summed),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM plan),
 drawn AS (SELECT w.doc_id, w.size, r.source_size, r.target, w.source,
-  (floor(rate) + CASE WHEN ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+  (floor(rate) + CASE WHEN ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || own), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
   FROM words w JOIN rates r ON w.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM drawn
 """
@@ -99,6 +99,28 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three pattern kinds of op5 alone, which SQL can express."""
+    return secrets.base_scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SECRETS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, 0 AS k, regexp_extract_all(t, p) AS f, string_split_regex(t, p) AS b FROM d, (SELECT $$(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+$$ AS p)
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d),
+u AS (SELECT doc_id, k, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS x, unnest(b[1:len(f)]) AS gap FROM m WHERE len(f) > 0),
+p AS (SELECT doc_id, k, x, sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM u),
+s AS (SELECT doc_id, k, (e - length(x))::BIGINT AS a, e::BIGINT AS e FROM p
+  WHERE CASE k WHEN 0 THEN length(regexp_extract(x, $$^[A-Za-z_]+["']? *[:=] *["']?(.*)$$, 1)) >= 6 WHEN 1 THEN length(x) >= 20 ELSE length(x) >= 24 END),
+l AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg((['assign', 'access', 'hex'])[k + 1] || ':' || a || ':' || e, ',' ORDER BY a, k) AS listed FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256
+FROM documents LEFT JOIN l USING (doc_id)
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at most 3 bits apart."""
     return simhash.simhash(table(spark, sf_dir, "documents"))
@@ -126,5 +148,5 @@ def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_words", "n_chunks")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_chunks": op9_chunks, "op10_tokenbin": op10_tokenbin, "pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_warc": op2_warc, "op3_topk": op3_topk, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "secrets_base": secrets_base, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_langid": op8_langid, "op9_chunks": op9_chunks, "op10_tokenbin": op10_tokenbin, "pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {"op1_mix": ORACLE_OP1, "op2_warc": ORACLE_OP2, "op3_topk": ORACLE_OP3, "op4_quality": ORACLE_OP4, "secrets_base": ORACLE_SECRETS}
