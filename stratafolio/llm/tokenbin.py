@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafolio.llm._shared import open_fs, shared_dir
+from stratafolio.llm._shared import open_fs, shared_dir, spread
 from stratafolio.llm.pieces import Encoder, blocks
 
 #: Pieces that go to the tokenizers library as one string.
@@ -33,13 +33,17 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 @cache
 def tokenizer(path: str):
-    """The library's tokenizer; strings of special tokens are ordinary text to it, and it keeps to the task's thread."""
+    """The library's tokenizer as it is, but that it keeps to the task's thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added(path: str) -> list[bytes]:
+    """The strings that the library takes out of a text before it cuts it into pieces, such as those of special tokens."""
+    return [x.content.encode() for x in tokenizer(path).get_added_tokens_decoder().values()]
 
 
 def encode_pieces(path: str, pieces: list[bytes]) -> list[list[int]]:
@@ -72,6 +76,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(lambda pieces: encode_pieces(path, pieces))
 
 
+def encoded(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, and where each text's begin (and the end). A text that holds an added token's string is encoded whole by
+    the library, without special tokens of the library's own making; the others go by their pieces."""
+    whole = [i for i, x in enumerate(texts) if any(a in x for a in added(path))]
+    if not whole:
+        return encoder(path).block(texts)
+    ids, at = encoder(path).block([b"" if any(a in x for a in added(path)) else x for x in texts])
+    parts = np.split(ids, at[1:-1])
+    for i in whole:
+        parts[i] = np.array(tokenizer(path).encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32)
+    return np.concatenate(parts).astype(np.uint32), np.r_[0, np.cumsum([len(x) for x in parts])]
+
+
 def ended(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and offsets with ``end_id`` after every document."""
     n = len(at) - 1
@@ -83,8 +100,9 @@ def ended(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.
 def write_ids(docs: DataFrame, path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Encodes whole texts, writes them in ascending order of the id and returns the manifest with each part's base.
 
-    Null ids come first; rows that share an id are ordered by their text's hash, and equal ones stand side by side. A null or
-    empty text is its end id alone. An empty table writes no part.
+    Ids are those of the library with ``add_special_tokens=False``: a special token's string in a text is that token. Null ids come
+    first; rows that share an id are ordered by their text's hash, and equal ones stand side by side. A null or empty text is its
+    end id alone. An empty table writes no part. Only the columns named are read.
 
     Rows are dealt by range of the id, sampled by Spark, and encoded in the task that writes them. File names hold the task
     attempt, and only attempts that succeeded reach the manifest. The manifest, a row per part, is all that is summed in order.
@@ -92,7 +110,7 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None, *, id_col:
     folder = folder or shared_dir(docs.sparkSession, "token-ids")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, enc = TaskContext.get(), encoder(path)
+        context = TaskContext.get()
         wide = tokenizer(path).get_vocab_size(with_added_tokens=True) > 1 << 16
         kind, total, n, nulls = ("<u4" if wide else "<u2"), 0, 0, 0
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
@@ -105,7 +123,7 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None, *, id_col:
                         store, root = open_fs(folder)
                         store.create_dir(root, recursive=True)
                         files = [stack.enter_context(store.open_output_stream(f"{root}/{name}.{x}", compression=None)) for x in ("bin", "off", "doc")]
-                    ids, at = ended(*enc.block(block), end_id)
+                    ids, at = ended(*encoded(path, block), end_id)
                     doc = batch.column("doc_id").slice(done, len(block))
                     files[0].write(ids.astype(kind).tobytes())
                     files[1].write((at[:-1] + total).astype("<i8").tobytes())
@@ -166,5 +184,4 @@ def read_ids(parts: DataFrame, *, with_ids: bool = False) -> DataFrame:
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
-    files = parts.select("stem", "docs", "null_docs", "ids", "width", "base").repartition(min(max(1, parts.count()), MOST_TASKS), F.col("stem"))
-    return files.mapInArrow(task, schema)
+    return spread(parts.select("stem", "docs", "null_docs", "ids", "width", "base"), MOST_TASKS).mapInArrow(task, schema)
