@@ -1,27 +1,21 @@
-"""Places that the driver and all executors share, and a lineage cut through them."""
+"""Places that the driver and all executors share, and how their files are dealt."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/stratafolio"
-
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below ``spark.checkpoint.dir`` (the folder that the cluster shares)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_CHECKPOINTS}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from stratafolio.storage import shared_dir, written
 
+__all__ = ["open_fs", "shared_dir", "spread", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spread(rows: DataFrame, most: int) -> DataFrame:
+    """The few rows of a table one to a task (several beyond ``most`` tasks): numbered and dealt by the number, as hashes of names
+    would leave tasks empty and others with several."""
+    n = min(max(1, rows.count()), most)
+    order = Window.orderBy(*rows.columns)
+    return rows.withColumn("__sf_n", F.pmod(F.row_number().over(order), F.lit(n))).repartitionByRange(n, "__sf_n").drop("__sf_n")
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafolio.llm._shared import open_fs, shared_dir
+from stratafolio.llm._shared import open_fs, shared_dir, spread
 
 #: Bytes that one read asks the store for.
 PIECE = 1 << 18
@@ -207,14 +207,37 @@ def read_records(source: BinaryIO, piece: int = PIECE) -> Iterator[Record]:
         yield record
 
 
+def digest_of(label: str | None) -> str | None:
+    """The digest of a label "algorithm:value" as lower-case hex; the value may be hex or Base32. None for what is neither."""
+    _, colon, value = (label or "").strip().partition(":")
+    if not colon:
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]+", value) and len(value) in (32, 40, 64, 96, 128):
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return None
+
+
+def holds(label: str | None, data: bytes) -> bool:
+    """Whether a digest label fits the data; a missing one does, and so does one of an algorithm that hashlib lacks, as it can't tell."""
+    algorithm = (label or "").strip().partition(":")[0].lower().replace("-", "")
+    if not label or algorithm not in hashlib.algorithms_guaranteed or algorithm.startswith("shake"):
+        return True
+    return digest_of(label) == hashlib.new(algorithm, data).hexdigest()
+
+
 def verify(record: Record) -> tuple[bool, bytes, int]:
-    """Whether the digests hold, the payload, and the full payload's length by the HTTP headers."""
+    """Whether the digests hold, the payload, and the full payload's length: by the HTTP headers for HTTP messages, else the block's."""
+    if not record.headers.get("content-type", "").lower().startswith("application/http"):
+        return holds(record.headers.get("warc-block-digest"), record.block) and holds(record.headers.get("warc-payload-digest"), record.block), record.block, len(record.block)
     head, _, payload = record.block.partition(b"\r\n\r\n")
     m = re.search(rb"(?im)^content-length:\s*(\d+)", head)
     length = int(m[1]) if m else len(payload)
-    good = record.headers.get("warc-block-digest", sha1_label(record.block)) == sha1_label(record.block)
-    if record.headers.get("warc-type") == "response":
-        good &= len(payload) == length and record.headers.get("warc-payload-digest", sha1_label(payload)) == sha1_label(payload)
+    good = holds(record.headers.get("warc-block-digest"), record.block)
+    if record.headers.get("warc-type") != "revisit":
+        good &= len(payload) == length and holds(record.headers.get("warc-payload-digest"), payload)
     return good, payload, length
 
 
@@ -238,11 +261,10 @@ def read_warc(spark: SparkSession, manifest: DataFrame, *, strict: bool = True,
                         if strict and not good:
                             raise WarcError(f"a digest fails in {uri} at {r.offset}")
                         h = r.headers
-                        label = h.get("warc-payload-digest", "").partition(":")[2]
                         row = {
                             "path": uri, "record_offset": r.offset, "record_id": h.get("warc-record-id", "").strip("<>"), "record_type": h.get("warc-type"),
                             "target_uri": h.get("warc-target-uri"), "page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "payload_bytes": length,
-                            "payload_digest": base64.b32decode(label).hex() if label else None,
+                            "payload_digest": digest_of(h.get("warc-payload-digest")),
                             "refers_to": int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, "verified": good, "payload": payload,
                         }
                         rows.append({k: row[k] for k in names})
@@ -253,9 +275,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, *, strict: bool = True,
                 if rows:
                     yield _batch(rows, with_payload)
 
-    # a stated number of partitions: the few bytes of the manifest would else be coalesced into one task that reads every file
-    files = manifest.select("path").repartition(min(max(1, manifest.count()), MOST_TASKS), F.col("path"))
-    return files.mapInArrow(task, schema)
+    return spread(manifest.select("path"), MOST_TASKS).mapInArrow(task, schema)
 
 
 def _batch(rows: list[dict], with_payload: bool) -> pa.RecordBatch:
