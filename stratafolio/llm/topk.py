@@ -197,7 +197,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "
     widest = candidates.agg(F.max(norm)).first()[0] or 0.0
     folder = shared_dir(spark, "topk-blocks")
     asked.repartition(max(1, -(-n // BLOCK))).write.option("maxRecordsPerFile", BLOCK).parquet(folder)
-    answers = None
+    answers, schema = shared_dir(spark, "topk-answers"), "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(answers)
     for file in sorted(spark.read.schema(asked.schema).parquet(folder).inputFiles()):
         rows = spark.read.schema(asked.schema).parquet(file).toArrow()
         if not rows.num_rows:
@@ -210,6 +211,5 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "
         found = candidates.mapInArrow(_select(groups, np.array(ids, dtype=np.int64), kth, k), "place long, query_id long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
         best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-        block = written(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk-answers")
-        answers = block if answers is None else answers.unionByName(block)
-    return answers if answers is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(answers)
+    return spark.read.schema(schema).parquet(answers)
