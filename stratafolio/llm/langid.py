@@ -126,11 +126,19 @@ def fitted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", k
     per = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-langs")
     chosen = known.join(per, "lang").filter(F.pmod("h", F.lit(1 << 30)).cast("double") * F.col("n") < float(SAMPLE << 30)).select("lang", "text")
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                rows = weighed(np.array([counts(x.as_py())[0] for x in some.column("text")], dtype=np.float32), idf)
+                yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array(list(rows), pa.list_(pa.float32()))], ["lang", "vector"])
+
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = weighed(np.array([counts(t)[0] for t in group["text"].sort_values()], dtype=np.float32), idf)
-        centres, edges = clustered(vectors)
+        rows = np.array(sorted(group["vector"], key=lambda v: v.tobytes()), dtype=np.float32)
+        centres, edges = clustered(rows)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "edge": edges, "centre": list(centres)})
 
+    chosen = chosen.mapInArrow(vectors, "lang string, vector array<float>")  # a text's size no longer matters from here on
     found = written(chosen.groupBy("lang").applyInPandas(fit, "lang string, edge double, centre array<float>"), "langid-centres")
     best = sorted(found.collect(), key=lambda r: (r["lang"], r["centre"]))
     centres = np.array([r["centre"] for r in best], dtype=np.float32).reshape(len(best), FEATURES)
@@ -167,7 +175,12 @@ def predicted(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learns from the documents that aren't held out and predicts all: doc_id, held_out, lang_pred, score, rejected."""
+    """Learns from the documents that aren't held out and predicts all: doc_id, held_out, lang_pred, score, rejected.
+
+    Rows with a null id, text or language teach nothing; a null or letterless text is ``und``; whole texts count, however long;
+    of equally near centroids the first in the order of languages wins; repeated rows each have a row; an empty table gives none.
+    Only the columns named are read, so others may have any names.
+    """
     teach = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     model = fitted(teach, text_col=text_col, lang_col=lang_col, key=F.col(id_col))
     return predicted(docs, model, id_col=id_col, text_col=text_col).withColumn("held_out", held_out(F.col("doc_id")))

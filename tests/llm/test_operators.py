@@ -97,6 +97,15 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, warc.archive(pages.limit(0))).count() == 0
 
 
+def test_clashing_columns_of_pages_and_vectors(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1500, 3, "a"), (2, "u", "x" * 1500, 4, "b")], "page_id long, url string, html string, payload int, record_type string")
+    got = {r["page_id"]: r["record_type"] for r in warc.read_warc(spark, warc.archive(pages)).collect()}
+    assert got == {1: "revisit", 2: "response"}
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], i, "x") for i in range(30)], "vec_id long, embedding array<double>, score long, v string")
+    best = topk.topk(vectors, vectors.filter("vec_id % 20 = 0"), 2).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in best} == {(0, 1, 1), (0, 2, 2), (20, 1, 29), (20, 2, 28)}
+
+
 def test_warc_reader_is_incremental_and_strict():
     one = warc.record_bytes(1, "u", b"abc" * 5000, hashlib.sha1(b"abc" * 5000).hexdigest(), "response", None, "2020-01-01T00:00:00Z")
     data = gzip.compress(one) + gzip.compress(one)
@@ -111,6 +120,18 @@ def test_warc_reader_is_incremental_and_strict():
     assert not warc.verify(next(warc.read_records(io.BytesIO(gzip.compress(bad)))))[0]
 
 
+def test_warc_digest_labels_and_other_records():
+    data = b"some bytes"
+    for name in ("md5", "sha1", "sha256"):
+        d = hashlib.new(name, data)
+        for label in (f"{name}:{d.hexdigest()}", f"{name}:{d.hexdigest().upper()}", f"{name}:{base64.b32encode(d.digest()).decode().rstrip('=')}"):
+            assert warc.holds(label, data) and not warc.holds(label, data + b"x") and warc.digest_of(label) == d.hexdigest()
+    assert warc.holds(None, data) and warc.holds("blake9:zz", data) and warc.digest_of("none") is None
+    head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nWARC-Block-Digest: sha256:{hashlib.sha256(b'a: b').hexdigest()}\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    (record,) = warc.read_records(io.BytesIO(gzip.compress(head.encode())))
+    assert warc.verify(record) == (True, b"a: b", 4)
+
+
 # ----------------------------------------------------------------------------------------------------------------- 3 top-k
 
 
@@ -498,6 +519,50 @@ def test_langid(spark, odd_docs, no_docs):
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
 
 
+def test_langid_against_brute_force(spark):
+    """Every prediction is the language of the centroid with the greatest cosine of plain TF-IDF vectors; the document frequencies
+    are those of all texts to learn from."""
+    rng = random.Random(14)
+    kinds = {"aa": "aeioulmnr", "bb": "kptshuwy", "cc": "abcdefgh"}
+    rows = [(i, made_up(kinds[k] + rng.choice(["", "xyz", "qu"]), rng.randint(5, 60), rng), k) for i, k in enumerate(list(kinds) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    teach = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    model = langid.fitted(docs.filter(F.col("doc_id").isin([r[0] for r in teach])), key=F.col("doc_id"))
+
+    def grams(text):
+        t = "  " + re.sub(r"[^a-z]+", " ", text.lower())
+        out = Counter()
+        for i in range(2, len(t)):
+            a = ord(t[i]) * 0x9E3779B1 % 2**32
+            b = (a ^ (ord(t[i - 1]) + 1)) * 0x85EBCA77 % 2**32
+            c = (b ^ (ord(t[i - 2]) + 2)) * 0xC2B2AE3D % 2**32
+            out.update(h >> 20 for h in (a, b, c))
+        return out
+
+    df = Counter(f for _, t, _ in teach for f in grams(t))
+    idf = {f: math.log((1 + len(teach)) / (1 + df[f])) + 0.1 for f in range(langid.FEATURES)}
+    assert all(math.isclose(model.idf[f], idf[f], rel_tol=1e-9) for f in idf)
+    assert Counter(model.langs) == dict.fromkeys(kinds, langid.CLUSTERS)
+    got = {r["doc_id"]: r for r in langid.predicted(docs, model).collect()}
+    for i, t, _ in rows:
+        v = {f: (1 + math.log(n)) * idf[f] for f, n in grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[f]) for f, x in v.items()) / norm for c in model.centres]
+        assert math.isclose(got[i]["score"], max(cosines), abs_tol=1e-4)
+        assert got[i]["lang_pred"] in {k for k, c in zip(model.langs, cosines, strict=True) if c >= max(cosines) - 1e-4}
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[i]["rejected"] == (cosines[best] < model.edges[best]) or abs(cosines[best] - model.edges[best]) < 1e-4
+    for k in kinds:  # every centroid has length 1 and lies among its language's own vectors
+        own = [c for c, x in zip(model.centres, model.langs, strict=True) if x == k]
+        assert all(math.isclose(float(np.linalg.norm(c)), 1, abs_tol=1e-4) for c in own)
+
+
+def test_langid_ties_and_odd_columns(spark):
+    rows = [(i, "same words in both", k, 1.0, True) for i, k in enumerate(["yy", "xx"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean")
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"xx"}
+
+
 def test_langid_counts_are_of_whole_texts(monkeypatch):
     text = words(200) + " Été"
     whole = langid.counts(text)[0]
@@ -614,7 +679,7 @@ def test_token_files(spark, odd_docs, no_docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
     more = spark.createDataFrame([(100 + i, x) for i, x in enumerate(odd_texts(300))], "doc_id long, text string")
     docs = odd_docs.select("doc_id", "text").union(more)
     parts = tokenbin.write_ids(docs, path)
