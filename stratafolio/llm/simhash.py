@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafolio.llm._shared import written
@@ -31,25 +31,27 @@ PIECE = 1 << 16
 # --------------------------------------------------------------------------------------------------------- fingerprints
 
 
-def shingles(data: bytes, words: int) -> list[bytes]:
-    """Lower-cased (A-Z) word shingles of a UTF-8 text, repeats included; all words where there are fewer; none without a word."""
+def shingles(data: bytes, words: int) -> Iterator[list[bytes]]:
+    """Lower-cased (A-Z) word shingles of a UTF-8 text, repeats included, ``PIECE`` at a time; all words where there are fewer; none
+    without a word."""
     w = data.lower().split()
     if len(w) <= words:
-        return [b" ".join(w)] if w else []
-    return list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+        yield [b" ".join(w)] if w else []
+        return
+    for at in range(0, len(w) - words + 1, PIECE):
+        some = w[at : at + PIECE + words - 1]
+        yield list(map(b" ".join, zip(*(some[i:] for i in range(words)), strict=False)))
 
 
 def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
     """The fingerprint as a signed long: a bit is 1 if it is set in over half of the shingles' XXH64."""
-    parts = shingles(data, words)
-    if not parts:
-        return 0
-    ones = np.zeros(64)
-    for at in range(0, len(parts), PIECE):
-        digests = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in parts[at : at + PIECE]]), np.uint8)
+    ones, n = np.zeros(64), 0
+    for some in shingles(data, words):
+        digests = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in some]), np.uint8)
         bits = np.unpackbits(digests).reshape(-1, 64)
         ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
-    return int(np.packbits(ones * 2 > len(parts)).view(">i8")[0])
+        n += len(some)
+    return int(np.packbits(ones * 2 > n).view(">i8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
@@ -288,39 +290,28 @@ def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def _across(similarity: float, most: int | None):
-    """A task that yields the pairs of a family's nodes that no chain of links joins yet: of every node outside the largest
-    group with ``most`` nodes of that group, or, without ``most``, of any two groups, but for those whose numbers of shingles
-    alone keep them below ``similarity``."""
-
-    def family(root: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-        if most:
-            names, counts = np.unique(root, return_counts=True)
-            inside = root == names[np.argmax(counts)]
-            some = np.sort(node[inside])[np.unique(np.linspace(0, inside.sum() - 1, most).astype(int))]
-            yield np.stack([np.repeat(node[~inside], len(some)), np.tile(some, int((~inside).sum()))], axis=1)
-            return
-        order = np.argsort(n, kind="stable")
-        root, node, n = root[order], node[order], n[order]
-        end = np.searchsorted(n * similarity, n + 1e-6, side="right")
-        for i in range(len(n) - 1):
-            other = node[i + 1 : end[i]][root[i + 1 : end[i]] != root[i]]
-            if len(other):
-                yield np.stack([np.full(len(other), node[i]), other], axis=1)
+def _sharing(members: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members (key, root) of different roots that may reach ``similarity``.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size = [np.zeros((0, 2), np.int64)], 0
-            for own in batch.column("members"):
-                for pairs in family(*(own.values.field(k).to_numpy() for k in range(3))):
-                    held.append(pairs)
-                    size += len(pairs)
-                    if size > PIECE:
-                        yield _pairs(np.sort(np.concatenate(held), axis=1))
-                        held, size = held[:1], 0
-            yield _pairs(np.unique(np.sort(np.concatenate(held), axis=1), axis=0))
+    Sets of n and m shingles that alike share at least o = similarity / (1 + similarity) * (n + m). With all shingles in one order,
+    the rarest first, their first common one stands no later than place n - o + 1 in the one and m - o + 1 in the other, so only
+    the first n - similarity * n + 1 of a set are joined, and what meets further back makes no pair. The words that an edit
+    brought in are rare and stand first: texts edited beyond the similarity meet too late, and so do texts of like words.
+    """
+    rows = written(members.join(hashes, "key").select("key", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "near-rest")
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "h"))
+    placed = rows.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("left", F.col("n") - place + 1)
+    first = written(placed.filter((F.col("left") >= F.ceil(F.col("n") * similarity - 1e-9)) & (F.col("df") > 1)).select("h", "key", "root", "n", "left"), "near-rarest")
+    a, b = first.alias("a"), first.alias("b")
+    least = (F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-6
+    early = (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.left") >= least) & (F.col("b.left") >= least)
+    return a.join(b, (F.col("a.h") == F.col("b.h")) & early).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
-    return task
+
+def _distinct_hashes(data: bytes, words: int) -> np.ndarray:
+    parts = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in some], np.uint64)) for some in shingles(data, words)]
+    return (np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]).view(np.int64)
 
 
 def _shingle_hashes(words: int):
@@ -330,7 +321,7 @@ def _shingle_hashes(words: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             for at in range(0, len(batch), 256):
-                sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(x.as_py() or b"", words)], np.uint64).view(np.int64)) for x in texts.slice(at, 256)]
+                sets = [_distinct_hashes(x.as_py() or b"", words) for x in texts.slice(at, 256)]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, 256), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
 
     return task
@@ -342,8 +333,9 @@ def near_copies(rows: DataFrame, *, text_col: str = "text", row_col: str = "row"
 
     Texts with the same words in order are merged first. Two different ones are compared if their fingerprints meet, and linked
     if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``; groups are chains of links.
-    Whatever meets is compared unless links join it already: first with two others, then, if still apart, with some of the largest
-    group it meets, at last with all. Only the last step grows with the square of a family of unlike texts of like words.
+    Whatever meets is compared, unless links join it already: first with two others; of groups that meet and are still apart, then,
+    every text with each that shares one of its rarest shingles early enough, which no pair of that similarity fails to do. No
+    document, no row; a null or empty text is a copy of every other one; ties of ids go to the smaller row.
     """
     named = rows.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = written(named.mapInArrow(_signatures, "row long, doc_id long, key long, f0 long, f1 long"), "near-signatures")
@@ -361,16 +353,12 @@ def near_copies(rows: DataFrame, *, text_col: str = "text", row_col: str = "row"
     alike = lambda found: found.join(left, "a").join(right, "b").filter(jaccard >= similarity).select("a", "b")
     links = written(alike(pairs), "near-links")
     roots = components(links).withColumnRenamed("node", "key")
-    each = families.filter(F.size("nodes") > 2).select("family", F.explode("nodes").alias("key")).join(hashes.select("key", F.size("hashes").cast("long").alias("n")), "key")
-    for most in (8, None):
-        labelled = each.join(roots, "key", "left").select("family", F.coalesce("root", "key").alias("root"), "key", "n")
-        parted = labelled.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("family")
-        members = written(labelled.join(parted, "family").groupBy("family").agg(F.collect_list(F.struct("root", "key", "n")).alias("members")), "near-parted")
-        if members.isEmpty():
-            break
-        more = members.repartition("family").mapInArrow(_across(similarity, most), "a long, b long").distinct()
-        links = written(links.union(alike(more)), "near-links")
-        roots = components(links).withColumnRenamed("node", "key")
+    each = families.filter(F.size("nodes") > 2).select("family", F.explode("nodes").alias("key")).join(roots, "key", "left")
+    labels = each.select("family", F.coalesce("root", "key").alias("root")).groupBy("family").agg(F.collect_set("root").alias("roots"))
+    apart = written(labels.filter(F.size("roots") > 1).select(F.explode("roots").alias("root")).distinct(), "near-parted")
+    members = hashes.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")).join(apart, "root", "left_semi")
+    links = written(links.union(alike(_sharing(members, hashes, similarity))), "near-links")
+    roots = components(links).withColumnRenamed("node", "key")
     grouped = distinct.join(roots, "key", "left").select("key", "best", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("best").alias("kept"))
     table = written(grouped.select("key", "root").join(kept, "root").select("key", F.col("kept.row").alias("keep_row")), "near-kept")
