@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,6 +38,11 @@ def heading_key(text: Column) -> Column:
     return F.regexp_replace(s, r"\b\d{1,2}\s*/\s*\d{4}\b", "#")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def roman_value(s: Column) -> Column:
     """The value of a canonical roman numeral; null for anything else."""
     count = lambda part: (F.length(s) - F.length(F.replace(s, F.lit(part), F.lit("")))) / len(part)
@@ -49,17 +55,23 @@ def sequence_key(text: Column, most_prefix: int = 3) -> Column:
     without one. A roman numeral needs a word before it or punctuation after it."""
     words = F.filter(F.split(F.regexp_replace(F.trim(text), r"^(?:[^\p{L}\p{N}\s]+\s+)+", ""), r"\s+"), lambda w: w != "")
 
-    def read(word: Column, i: Column) -> Column:
-        token = F.regexp_replace(word, r"^\(+", "")
-        core = F.regexp_replace(token, r"[.:);,]+$", "")
-        suffix = F.substr(token, F.length(core) + 1)
-        decimal = core.rlike(r"^\d{1,4}$")
-        value = F.when(decimal, F.when(decimal, core).cast("int")).when((i > 0) | (suffix != ""), roman_value(core))
-        prefix = F.array_join(F.slice(words, F.lit(1), i), " ")
-        key = F.concat(F.when(i > 0, F.concat(prefix, F.lit(" "))).otherwise(F.lit("")), F.lit("#"), suffix)
-        return F.struct(key.alias("key"), value.alias("value"), F.when(decimal, F.lit("decimal")).otherwise(F.lit("roman")).alias("form"))
+    def read(x: Column, i: Column) -> Column:
+        """A number if the word is one; x has the word without opening brackets, and that without closing punctuation."""
+        suffix = F.substr(x["token"], F.length(x["core"]) + 1)
+        decimal = x["core"].rlike(r"^\d{1,4}$")
+        value = F.when(decimal, F.when(decimal, x["core"]).cast("int")).when(((i > 0) | (x["token"] != x["core"])) & x["core"].rlike("^[IVXLCDM]+$"), roman_value(x["core"]))
+        return F.struct(i.alias("at"), suffix.alias("suffix"), value.alias("value"), F.when(decimal, F.lit("decimal")).otherwise(F.lit("roman")).alias("form"))
+
+    def first(all_: Column) -> Column:
+        token = F.transform(F.slice(all_, 1, most_prefix + 1), lambda w: F.regexp_replace(w, r"^\(+", ""))
+        parts = F.transform(token, lambda t: F.struct(t.alias("token"), F.regexp_replace(t, r"[.:);,]+$", "").alias("core")))
+        return let(F.get(F.filter(F.transform(parts, read), lambda x: x["value"].isNotNull()), F.lit(0)), lambda x: named(all_, x))
+
+    def named(all_: Column, x: Column) -> Column:
+        key = F.concat(F.when(x["at"] > 0, F.concat(F.array_join(F.slice(all_, F.lit(1), x["at"]), " "), F.lit(" "))).otherwise(F.lit("")), F.lit("#"), x["suffix"])
+        return F.when(x.isNotNull(), F.struct(key.alias("key"), x["value"].alias("value"), x["form"].alias("form")))
 
-    return F.get(F.filter(F.transform(F.slice(words, 1, most_prefix + 1), read), lambda x: x["value"].isNotNull()), 0)
+    return let(words, first)
 
 
 def marker(text: Column) -> Column:
@@ -80,8 +92,8 @@ MARKERS = (
     ("article", 4, r"^\s*(?:ĐIỀU|Điều)\s+(\d+)\s*[\.:]?\s"),
     ("roman", 5, r"^\s*([IVXLCM]+)\s*[\.\)]\s*\S"),
     ("path", 7, r"^\s*(\d{1,2}(?:\.\d{1,2})+)\s*\.?\s"),
-    ("number", 6, r"^\s*(\d{1,2})\s*[\.\)]\s*(?:$|[^\d\s])"),
-    ("letter", 8, r"^\s*([a-zđ])\s*[\.\)]\s"),
+    ("number", 6, r"^\s*(\d{1,2})\s*[\.\)](?!\d)"),
+    ("letter", 8, r"^\s*([aăâbcdđeêghiklmnoôơpqrstuưvxy])\s*[\.\)]\s"),
     ("bullet", 9, r"^\s*([-+*•])\s+\S"),
 )
 
@@ -101,7 +113,6 @@ def folded(texts: pd.Series) -> pd.Series:
 
 def doubled_share(text: Column) -> Column:
     """The share of neighbouring letters that are equal; null with fewer than 12 letters."""
-    letters = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]", ""), ""), lambda c: c != "")
-    n = F.size(letters)
-    equal = F.aggregate(F.zip_with(F.slice(letters, F.lit(1), n - 1), F.slice(letters, F.lit(2), n - 1), lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    return F.when(n >= 12, equal / (n - 1))
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]", "")
+    n = F.length(letters)
+    return F.when(n >= 12, F.regexp_count(letters, F.lit(r"(.)(?=\1)")) / (n - 1))

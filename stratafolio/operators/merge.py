@@ -64,13 +64,14 @@ def verdicts(items: DataFrame, answers: DataFrame, doc: Names, key: str, order:
     return items.join(first, [*doc, key], "left").withColumn("state", said).drop("verdict")
 
 
-def inherited(rows: DataFrame, doc: Names, node: str, parent: str, value: str, most_rounds: int = 8) -> DataFrame:
+def inherited(rows: DataFrame, doc: Names, node: str, parent: str, value: str) -> DataFrame:
     """Adds effective: a row's own value or that of its nearest ancestor that has one, and whether the chain ran into a cycle. Each
-    round doubles the ancestors looked at; 2 ** ``most_rounds`` are enough for any sound chain of styles."""
+    round doubles the ancestors looked at; a chain that is still open after as many as the largest document has rows is a cycle."""
     from stratafolio.storage import written
 
     state = rows.select("*", F.col(value).alias("effective"), F.col(parent).alias("up_"))
-    for _ in range(most_rounds):
+    largest = rows.groupBy(*doc).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(largest.bit_length() + 1):
         state = written(state, "inherited")
         if state.filter("effective IS NULL AND up_ IS NOT NULL").isEmpty():
             break
@@ -80,9 +81,10 @@ def inherited(rows: DataFrame, doc: Names, node: str, parent: str, value: str, m
     return state.withColumn("cycle", F.col("effective").isNull() & F.col("up_").isNotNull()).drop("up_")
 
 
-def list_labels(rows: DataFrame, list_: Names, order: str, level: str, deepest: int = 4) -> DataFrame:
-    """Adds label (as 1.2.1): counters of a multi-level list, in which a row begins its deeper levels anew."""
-    out = rows
+def list_labels(rows: DataFrame, list_: Names, order: str, level: str, deepest: int = 9) -> DataFrame:
+    """Adds label (as 1.2.1): counters of a multi-level list, in which a row begins its deeper levels anew. Word has
+    ``deepest`` levels; a deeper row is an error."""
+    out = rows.withColumn(level, F.when(F.col(level) > deepest, F.raise_error(F.lit(f"a list level beyond {deepest}")).cast("int")).otherwise(F.col(level)))
     for k in range(1, deepest + 1):
         era = Window.partitionBy(*list_).orderBy(order)
         out = out.withColumn(f"era_{k}", F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(era))

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafolio.functions.text import marker
 from stratafolio.operators.aggregates import upper_middle
-from stratafolio.operators.trees import levels
 
 Names = list[str]
 #: What each sign of a heading adds, and the sum from which a line is a candidate.
 WEIGHTS = {"larger": 0.45, "bold": 0.35, "numbered": 0.45, "short": 0.12, "open_end": 0.12, "capitals": 0.15, "long_next": 0.15}
 CANDIDATE = 0.62
+#: What captions, headings without a number, and names of heading styles look like.
+CAPTION = r"(?iu)^\s*(Bảng|Hình|Biểu\s*đồ|Sơ\s*đồ|Table|Figure)\s*[\dIVX]"
+KEYWORD = (
+    r"(?iu)^\s*(MỤC LỤC|DANH MỤC[^\n]{0,40}|LỜI (CAM ĐOAN|CẢM ƠN|MỞ ĐẦU|NÓI ĐẦU)|MỞ ĐẦU|ĐẶT VẤN ĐỀ|TỔNG QUAN|KẾT LUẬN|KIẾN NGHỊ|TÀI LIỆU THAM KHẢO"
+    r"|PHỤ LỤC|TÓM TẮT|ABSTRACT|NHẬN XÉT CHUNG)\s*$"
+)
+HEADING_STYLE = r"(?i)^(heading|title|tiêu đề)"
+
+
+def candidate(text: Column, *, style: Column, bold: Column, centred: Column, body_bold: Column) -> Column:
+    """Why a line may be a heading: the first of MARKER, KEYWORD, STYLE, CENTRED (and bold), BOLD (where the body isn't); null where
+    nothing speaks for it, and for captions and blank lines."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    why = (
+        F.when(marker(text).isNotNull(), "MARKER").when(text.rlike(KEYWORD), "KEYWORD").when(yes(style.rlike(HEADING_STYLE)), "STYLE")
+        .when(yes(centred) & yes(bold), "CENTRED").when(yes(bold) & ~yes(body_bold), "BOLD")
+    )
+    return F.when(~text.rlike(CAPTION) & (F.trim(text) != ""), why)
 
 
 def format_score(rows: DataFrame, doc: Names, order: str, text: str, size: str, bold: str, body_size: Column, body_bold: Column) -> DataFrame:
-    """Adds score: the summed weights of the signs that a line shows."""
+    """Adds score, the summed weights of the signs that a line shows, and whether it reaches ``CANDIDATE``."""
     t = F.trim(text)
     after = F.coalesce(F.lead(F.length(text)).over(Window.partitionBy(*doc).orderBy(order)), F.lit(0))
     signs = {
@@ -23,7 +44,7 @@ def format_score(rows: DataFrame, doc: Names, order: str, text: str, size: str,
         "open_end": ~t.rlike(r"[.!?;,]$"), "capitals": (F.upper(t) == t) & (F.lower(t) != t) & (F.length(t) > 6), "long_next": (after > 200) & (F.length(t) < 90),
     }
     total = sum((F.when(F.coalesce(c, F.lit(False)), WEIGHTS[n]).otherwise(0.0) for n, c in signs.items()), F.lit(0.0))
-    return rows.withColumn("score", F.round(total, 2))
+    return rows.withColumn("score", F.round(total, 2)).withColumn("candidate", F.col("score") >= CANDIDATE)
 
 
 def body_baseline(rows: DataFrame, doc: Names, order: str, value: str, long: Column) -> DataFrame:
@@ -37,17 +58,26 @@ def format_rank(rows: DataFrame, doc: Names, size: str, bold: str) -> DataFrame:
     return rows.withColumn("rank", 20 + F.dense_rank().over(Window.partitionBy(*doc).orderBy(F.desc_nulls_last(size), F.desc(bold))))
 
 
-def levels_of_ranks(rows: DataFrame, doc: Names, order: str, rank: str, highest: int = 12) -> DataFrame:
-    """Adds level: one more than that of the nearest earlier row with a smaller rank. A null rank begins anew at level 1, and what
-    follows stands below it. Ranks go from 0 to ``highest``."""
-    w = Window.partitionBy(*doc).orderBy(order)
-    grouped = rows.withColumn("era_", F.sum(F.when(F.col(rank).isNull(), 1).otherwise(0)).over(w)).withColumn("r_", F.coalesce(F.col(rank) + 1, F.lit(0)))
-    era = Window.partitionBy(*doc, "era_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = {f"a_{k}": F.last(F.when(F.col("r_") == k, F.col(order)), ignorenulls=True).over(era) for k in range(highest + 1)}
-    near = F.greatest(F.lit(0), *[F.when(F.col("r_") > k, F.col(f"a_{k}")) for k in range(highest + 1)])
-    pointed = grouped.withColumns(last).withColumn("up_", near.cast("long")).drop(*last)
-    out = levels(pointed, doc, order, "up_")
-    return out.drop("era_", "r_", "up_", "resolution")
+def levels_of_ranks(rows: DataFrame, doc: Names, order: str, rank: str, deepest: int = 9) -> DataFrame:
+    """Adds level: one more than that of the nearest earlier row with a smaller rank, at most ``deepest``. Ranks may be any numbers; a
+    null rank begins anew at level 1, and what follows stands below it.
+
+    What is still open is a stack, which a window can't hold, so each document's outline is folded by itself."""
+    schema = rows.withColumn("level", F.lit(0)).schema
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        stack: list[float] = []
+        out = []
+        for r in group[rank]:
+            r = -math.inf if pd.isna(r) else r
+            while stack and (stack[-1] >= r or r == -math.inf):
+                stack.pop()
+            stack.append(r)
+            out.append(min(len(stack), deepest))
+        return group.assign(level=out)
+
+    return rows.groupBy(*doc).applyInPandas(fold, schema)
 
 
 def sequence_gaps(rows: DataFrame, group: Names, order: str, value: str) -> DataFrame:

@@ -47,19 +47,11 @@ def sk2(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("name")).agg(F.max_by("event_id", "ts").alias("latest"), F.count(F.lit(1)).alias("revisions"))
 
 
-@query("w20_block_cosine", rf"""WITH {LINES}, w AS (SELECT DISTINCT doc_id, ord, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM l WHERE doc_id < 400),
+@query("w20_block_cosine", rf"""WITH {LINES}, w AS (SELECT DISTINCT doc_id, ord, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM l),
   s AS (SELECT doc_id, ord AS gap, word, 0 AS side FROM w UNION SELECT doc_id, ord + 1, word, 0 FROM w UNION SELECT doc_id, ord - 1, word, 1 FROM w UNION SELECT doc_id, ord - 2, word, 1 FROM w),
   c AS (SELECT doc_id, gap, word, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM s GROUP BY ALL)
   SELECT doc_id, gap, round(sum(a * b) / nullif(sqrt(sum(a * a)::DOUBLE) * sqrt(sum(b * b)::DOUBLE), 0), 6) AS cosine FROM c GROUP BY doc_id, gap HAVING sum(a) > 0 AND sum(b) > 0""")
 def w20(spark, sf):
     from stratafolio.operators.segments import block_cosine
 
-    return block_cosine(lines(table(spark, sf, "documents").filter("doc_id < 400")), 2)
-
-
-@query("w20_block_cosine_all")
-def w20_all(spark, sf):
-    """Over all documents; the SQL of w20_block_cosine has some of them."""
-    from stratafolio.operators.segments import block_cosine
-
     return block_cosine(lines(table(spark, sf, "documents")), 2)

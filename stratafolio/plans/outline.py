@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from stratafolio.operators import outline as O  # noqa: N812
 from stratafolio.operators import trees
+from stratafolio.plans import scalars
 from stratafolio.plans.lines import LINES
 from stratafolio.plans.registry import query
+from stratafolio.plans.scalars import MARKER_SQL
+from stratafolio.plans.scalars import H as HEADINGS_SQL
 from stratafolio.plans.trees import H, headings
 from stratafolio.session import table
 from stratafolio.sources.lines import lines
@@ -15,10 +18,23 @@ from stratafolio.sources.lines import lines
 
 @query("d5_format_score", rf"""WITH {LINES}, a AS (SELECT *, coalesce(lead(length(text)) OVER (PARTITION BY doc_id ORDER BY ord), 0) AS after, trim(text) AS t FROM l)
   SELECT doc_id, ord, round((CASE WHEN length(text) % 13 > 10 THEN 0.45 ELSE 0 END + CASE WHEN length(text) % 2 = 0 THEN 0.35 ELSE 0 END + CASE WHEN regexp_matches(t, '^\d+(\.\d+)+') THEN 0.45 ELSE 0 END + CASE WHEN length(t) <= 90 THEN 0.12 ELSE 0 END
-  + CASE WHEN NOT regexp_matches(t, '[.!?;,]$') THEN 0.12 ELSE 0 END + CASE WHEN upper(t) = t AND lower(t) <> t AND length(t) > 6 THEN 0.15 ELSE 0 END + CASE WHEN after > 200 AND length(t) < 90 THEN 0.15 ELSE 0 END)::DOUBLE, 2) AS score FROM a""")
+  + CASE WHEN NOT regexp_matches(t, '[.!?;,]$') THEN 0.12 ELSE 0 END + CASE WHEN upper(t) = t AND lower(t) <> t AND length(t) > 6 THEN 0.15 ELSE 0 END + CASE WHEN after > 200 AND length(t) < 90 THEN 0.15 ELSE 0 END)::DOUBLE, 2) AS score, score >= 0.62 AS candidate FROM a""")
 def d5(spark, sf):
     l = lines(table(spark, sf, "documents")).withColumn("size", F.length("text") % 13).withColumn("bold", F.length("text") % 2 == 0)  # noqa: E741
-    return O.format_score(l, ["doc_id"], "ord", "text", "size", "bold", F.lit(10), F.lit(False)).select("doc_id", "ord", "score")
+    return O.format_score(l, ["doc_id"], "ord", "text", "size", "bold", F.lit(10), F.lit(False)).select("doc_id", "ord", "score", "candidate")
+
+
+KEYWORD_SQL = O.KEYWORD.replace("(?iu)", "(?i)")
+CAPTION_SQL = O.CAPTION.replace("(?iu)", "(?i)")
+
+
+@query("d4_candidate", rf"""WITH {HEADINGS_SQL}, m AS (SELECT doc, ord, text, CASE {MARKER_SQL} END AS m FROM h)
+  SELECT doc, ord, CASE WHEN regexp_matches(text, '{CAPTION_SQL}') THEN NULL WHEN m IS NOT NULL THEN 'MARKER' WHEN regexp_matches(text, '{KEYWORD_SQL}') THEN 'KEYWORD' WHEN doc % 5 = 0 THEN 'STYLE'
+  WHEN ord % 3 = 0 AND ord % 2 = 0 THEN 'CENTRED' WHEN ord % 2 = 0 THEN 'BOLD' END AS why FROM m""")
+def d4(spark, sf):
+    h = scalars.headings(spark, sf).withColumn("style", F.when(F.col("doc") % 5 == 0, "Heading 1"))
+    why = O.candidate(F.col("text"), style=F.col("style"), bold=F.col("ord") % 2 == 0, centred=F.col("ord") % 3 == 0, body_bold=F.lit(False))
+    return h.select("doc", "ord", why.alias("why"))
 
 
 @query("d6_body_baseline", f"""WITH {LINES}, g AS (SELECT doc_id, length(text) % 4 AS v, count(*) AS n, min(ord) AS f FROM l WHERE length(text) > 200 GROUP BY ALL) SELECT doc_id, v AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM g) WHERE r = 1""")

@@ -44,7 +44,8 @@ def sequence_key(spark, sf):
     return headings(spark, sf).withColumn("k", T.sequence_key(F.col("text"))).filter("k IS NOT NULL").select("doc", "ord", "k.*")
 
 
-MARKER_SQL = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}:{r}:' || regexp_extract(text, '{p}', 1)" for n, r, p in T.MARKERS)
+RE2 = [(n, r, p.replace(r"(?!\d)", r"(?:$|\D)")) for n, r, p in T.MARKERS]  # DuckDB's patterns have no look-ahead
+MARKER_SQL = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}:{r}:' || regexp_extract(text, '{p}', 1)" for n, r, p in RE2)
 
 
 @query("d1_marker", rf"""WITH {H} SELECT doc, ord, CASE {MARKER_SQL} END AS marker FROM h""")
@@ -58,15 +59,9 @@ def folded(spark, sf):
     return headings(spark, sf).select("doc", "ord", T.folded("text").alias("key"))
 
 
-@query("d17_doubled", """WITH l AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL]', '', 'g') AS t FROM documents WHERE length(text) < 3000),
-  p AS (SELECT doc_id, t, unnest(range(1, length(t))) AS i FROM l WHERE length(t) >= 12) SELECT doc_id, sum((substr(t, i, 1) = substr(t, i + 1, 1))::INT) / (length(any_value(t)) - 1)::DOUBLE AS share FROM p GROUP BY doc_id""")
+@query("d17_doubled", """WITH l AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\\pL]', '', 'g'), '') AS t FROM documents)
+  SELECT doc_id, len(list_filter(list_zip(t[:-2], t[2:]), lambda p: p[1] = p[2])) / (len(t) - 1)::DOUBLE AS share FROM l WHERE len(t) >= 12""")
 def d17(spark, sf):
-    return table(spark, sf, "documents").filter("length(text) < 3000").select("doc_id", T.doubled_share(F.col("text")).alias("share")).filter("share IS NOT NULL")
-
-
-@query("d17_doubled_all")
-def d17_all(spark, sf):
-    """Over texts of any length; the SQL of d17_doubled has the short ones."""
     return table(spark, sf, "documents").select("doc_id", T.doubled_share(F.col("text")).alias("share")).filter("share IS NOT NULL")
 
 

@@ -1,8 +1,7 @@
-"""Queries of the diff operators. Documents of the same source and language, taken in turn, are the versions of a pair."""
+"""Queries of the diff operators. The versions of a pair are a document and what a rule makes of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratafolio.operators import diff as D
@@ -11,11 +10,11 @@ from stratafolio.session import table
 
 
 def pairs(spark, sf):
-    docs = table(spark, sf, "documents")
-    twice = docs.groupBy("text").agg(F.min("doc_id").alias("pair_id"))
-    w = Window.partitionBy(F.substring("text", 1, 20)).orderBy("pair_id")
-    near = twice.withColumn("old", F.lag("text").over(w)).filter("old IS NOT NULL")
-    return near.select("pair_id", "old", F.col("text").alias("new"))
+    """Every document, and its text with each seventh line left out, words put into each fifth and each ninth doubled."""
+    old = F.split("text", "\n")
+    edit = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("as amended "), x)).when(i % 9 == 4, F.concat(x, F.lit("\n"), x)).otherwise(x)
+    new = F.array_join(F.transform(F.filter(old, lambda x, i: i % 7 != 3), edit), "\n")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("old"), new.alias("new"))
 
 
 @query("a9_compare")

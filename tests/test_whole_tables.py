@@ -1,4 +1,4 @@
-"""Queries over whole tables against brute force, where the SQL of a query has a part of the table only."""
+"""Queries over whole tables against brute force."""
 
 import re
 from collections import Counter, defaultdict
@@ -26,7 +26,7 @@ def test_block_cosine_of_all_documents(spark, texts):
             a, b = set().union(*words[max(gap - 2, 0) : gap]), set().union(*words[gap : gap + 2])
             if a and b:
                 want[doc, gap] = len(a & b) / sqrt(len(a) * len(b))
-    got = {(r["doc_id"], r["gap"]): r["cosine"] for r in registry.QUERIES["w20_block_cosine_all"](spark, SF).collect()}
+    got = {(r["doc_id"], r["gap"]): r["cosine"] for r in registry.QUERIES["w20_block_cosine"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-6) and max(d for d, _ in got) >= 400
 
 
@@ -36,19 +36,19 @@ def test_similar_pairs_of_all_parts(spark):
         brands[r["p_brand"]].append((r["p_partkey"], set(re.findall("[a-z]+", f"{r['p_name']} {r['p_type'].lower()}"))))
     pairs = {(x[0], y[0]): 2 * len(x[1] & y[1]) / (len(x[1]) + len(y[1])) for rows in brands.values() for x, y in combinations(sorted(rows, key=lambda v: v[0]), 2)}
     want = {k: v for k, v in pairs.items() if v >= 0.5}
-    got = {(r["id"], r["id_b"]): r["dice"] for r in registry.QUERIES["j9_similar_pairs_all"](spark, SF).collect()}
+    got = {(r["id"], r["id_b"]): r["dice"] for r in registry.QUERIES["j9_similar_pairs"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-6) and max(b for _, b in got) > 600
 
 
 def test_doubled_letters_of_long_texts(spark, texts):
     letters = {d: [c for c in t.lower() if c.isalpha()] for d, t in texts.items()}
     want = {d: sum(a == b for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1) for d, t in letters.items() if len(t) >= 12}
-    got = {r["doc_id"]: r["share"] for r in registry.QUERIES["d17_doubled_all"](spark, SF).collect()}
+    got = {r["doc_id"]: r["share"] for r in registry.QUERIES["d17_doubled"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-9) and any(len(texts[d]) >= 3000 for d in got)
 
 
 def test_repeated_text_of_all_languages(spark, texts):
     keys = {(d, i): re.sub("[0-9]+", "#", x).lower() for d, t in texts.items() for i, x in enumerate(t.split("\n"), 1)}
     counts = Counter((d % 50, k) for (d, _), k in keys.items())
-    got = {(r["page"], r["ord"]): r["others"] for r in registry.QUERIES["ag2_repeated_text_all"](spark, SF).collect()}
+    got = {(r["page"], r["ord"]): r["others"] for r in registry.QUERIES["ag2_repeated_text"](spark, SF).collect()}
     assert got == {(d, i): counts[d % 50, k] - 1 if k else 0 for (d, i), k in keys.items()}
