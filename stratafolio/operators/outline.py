@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafolio.functions.text import marker
 from stratafolio.operators.aggregates import upper_middle
+from stratafolio.operators.folds import folded
 
 Names = list[str]
 #: What each sign of a heading adds, and the sum from which a line is a candidate.
@@ -62,22 +62,15 @@ def levels_of_ranks(rows: DataFrame, doc: Names, order: str, rank: str, deepest:
     """Adds level: one more than that of the nearest earlier row with a smaller rank, at most ``deepest``. Ranks may be any numbers; a
     null rank begins anew at level 1, and what follows stands below it.
 
-    What is still open is a stack, which a window can't hold, so each document's outline is folded by itself."""
-    schema = rows.withColumn("level", F.lit(0)).schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        stack: list[float] = []
-        out = []
-        for r in group[rank]:
-            r = -math.inf if pd.isna(r) else r
-            while stack and (stack[-1] >= r or r == -math.inf):
-                stack.pop()
-            stack.append(r)
-            out.append(min(len(stack), deepest))
-        return group.assign(level=out)
-
-    return rows.groupBy(*doc).applyInPandas(fold, schema)
+    What is still open is a stack, which a window can't hold, so the outline is folded in order."""
+
+    def fold(stack: list[float], r: float | None) -> int:
+        while stack and (r is None or stack[-1] >= r):
+            stack.pop()
+        stack.append(-math.inf if r is None else r)
+        return min(len(stack), deepest)
+
+    return folded(rows, doc, [order], [rank], list, fold, "level", "int")
 
 
 def sequence_gaps(rows: DataFrame, group: Names, order: str, value: str) -> DataFrame:

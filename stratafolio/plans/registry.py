@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from stratafolio.plans import aggregates, decisions, joins, lines, merging, outline, scalars, trees, validators, versions, windows  # noqa: E402, F401
+from stratafolio.plans import aggregates, decisions, geometry, joins, lines, merging, outline, scalars, trees, units, validators, versions, windows  # noqa: E402, F401
