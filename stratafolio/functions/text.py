@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -98,6 +99,107 @@ MARKERS = (
 )
 
 
+def compact(text: Column) -> Column:
+    """Without white space and in lower case, as lines are compared that may be broken elsewhere."""
+    return F.lower(F.regexp_replace(text, r"\s+", ""))
+
+
+def skeleton(text: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+
+
+def label_kind(text: Column) -> Column:
+    """The shape of a label: digits as #, runs of capitals as A, runs of other letters as a."""
+    digits = F.regexp_replace(text, r"\p{N}+", "#")
+    return F.regexp_replace(F.regexp_replace(digits, r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
+
+
+def leading_token(text: Column) -> Column:
+    """The first word, without what closes it; empty for a blank line."""
+    return F.regexp_extract(text, r"^\s*(\S*?)[.,:;)]*(?:\s|$)", 1)
+
+
+def ending_punctuation(text: Column) -> Column:
+    """The punctuation that the text ends with; empty without any."""
+    return F.regexp_extract(text, r"([.,:;!?…]+)[\s\"'”’)]*$", 1)
+
+
+def heading_label(text: Column) -> Column:
+    """The label and number of a labelled heading, as "điều 5" or "chương iv"; null without one."""
+    found = F.regexp_extract(F.lower(text), r"^\s*(chương|mục|điều|phần)\s+([ivxlcdm]+|\d+)(?:$|[^\p{L}\p{N}_])", 0)
+    return F.when(found != "", F.trim(F.regexp_replace(F.regexp_replace(found, r"[^\p{L}\p{N}]+$", ""), r"\s+", " ")))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / length of the longer; 1 for two empty texts."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def roman(n: Column) -> Column:
+    """A number from 1 to 3999 as a roman numeral; null for others."""
+    digit = lambda k: F.floor(n / k).cast("int") % 10
+    forms = lambda one, five, ten: F.array(*map(F.lit, ("", one, 2 * one, 3 * one, one + five, five, five + one, five + 2 * one, five + 3 * one, one + ten)))
+    parts = [F.get(forms("M", "", ""), digit(1000)), F.get(forms("C", "D", "M"), digit(100)), F.get(forms("X", "L", "C"), digit(10)), F.get(forms("I", "V", "X"), digit(1))]
+    return F.when(n.between(1, 3999), F.concat(*parts))
+
+
+def letters(n: Column) -> Column:
+    """A number as a word processor letters lists: a to z, then aa to zz, and so on; null below 1."""
+    return F.when(n >= 1, F.repeat(F.char(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int")))
+
+
+def path_parts(location: Column) -> Column:
+    """What a location such as /body/tbl[2]/tr[1]/tc[3]/p[1] says: how many tables deep it is, the paths of its innermost table, row and
+    cell (null outside tables), and whether it lies in a text box."""
+    inner = lambda tag: F.nullif(F.regexp_extract(location, rf"^(.*/{tag}\[\d+\])", 1), F.lit(""))
+    return F.struct(F.regexp_count(location, F.lit(r"/tbl\[")).alias("depth"), inner("tbl").alias("table"), inner("tr").alias("row"), inner("tc").alias("cell"), location.contains("/txbxContent").alias("text_box"))
+
+
+def repaired(text: Column) -> Column:
+    """Text of a printed page for display: single letters that were set apart are joined again, and blanks before punctuation and
+    inside brackets go."""
+    joined = F.regexp_replace(text, r"(?<=(?:^|\s)\p{L})\s(?=\p{L}(?:\s|$))", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"\s+([.,;:!?)\]])", "$1"), r"([(\[])\s+", "$1"), r"\s+", " "))
+
+
+def json_field(text: Column, field: str, kind: str) -> Column:
+    """A field of a JSON object as (value, state): OK, MISSING, WRONG_KIND (it isn't of ``kind``, one of string, number and boolean), or
+    NOT_JSON, so that a caller can refuse it by name and nothing is dropped unsaid."""
+    whole, raw = F.try_parse_json(text), f"$.{field}"
+    found = F.try_variant_get(whole, raw, "variant")
+    shape = F.schema_of_variant(found)
+    good = {"string": shape == "STRING", "number": shape.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), "boolean": shape == "BOOLEAN"}[kind]
+    state = F.when(whole.isNull(), "NOT_JSON").when(found.isNull(), "MISSING").when(F.coalesce(good, F.lit(False)), "OK").otherwise("WRONG_KIND")
+    return F.struct(F.when(state == "OK", F.try_variant_get(whole, raw, "string")).alias("value"), state.alias("state"))
+
+
+@F.pandas_udf(StringType())
+def normalised(texts: pd.Series) -> pd.Series:
+    """NFC and single white space. Spark has no normal forms, so this goes by Arrow."""
+    return texts.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFC", s).split()))
+
+
+@F.pandas_udf(StringType())
+def strict_json(texts: pd.Series) -> pd.Series:
+    """A JSON text with its keys in order, so that equal values have equal texts; null if it is no JSON or repeats a key in an object,
+    which Spark's own parsers pass over."""
+
+    def object_(pairs: list[tuple]) -> dict:
+        if len(dict(pairs)) != len(pairs):
+            raise ValueError("a key is repeated")
+        return dict(pairs)
+
+    def one(s: str | None) -> str | None:
+        try:
+            return None if s is None else json.dumps(json.loads(s, object_pairs_hook=object_), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 @F.pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """The search key: no diacritics, no white space, đ as d, lower case. Spark has no normal forms, so this goes by Arrow."""

@@ -83,3 +83,48 @@ def edit_distance(spark, sf):
 @query("a3_word_tokens", r"""SELECT doc_id, len(regexp_extract_all(text, '[\pL\pM\pN]+|[^\pL\pM\pN\s]')) AS tokens FROM documents""")
 def a3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]")).alias("tokens"))
+
+
+@query("f_line_forms", r"""SELECT doc_id, len(regexp_replace(lower(text), '\s+', '', 'g')) AS compact, md5(regexp_replace(lower(text), '[^\pL\pN]+', '', 'g')) AS skeleton,
+  regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 40), '\pN+', '#', 'g'), '\p{Ll}+', 'a', 'g'), '\p{Lu}+', 'A', 'g') AS kind, regexp_extract(text, '^\s*(\S*?)[.,:;)]*(?:\s|$)', 1) AS leading, regexp_extract(text, '([.,:;!?…]+)[\s"''”’)]*$', 1) AS ending FROM documents""")
+def line_forms(spark, sf):
+    t = F.col("text")
+    out = table(spark, sf, "documents")
+    return out.select("doc_id", F.length(T.compact(t)).alias("compact"), F.md5(T.skeleton(t).cast("binary")).alias("skeleton"), T.label_kind(F.substring(t, 1, 40)).alias("kind"), T.leading_token(t).alias("leading"), T.ending_punctuation(t).alias("ending"))
+
+
+@query("f_heading_label", rf"""WITH {H} SELECT doc, ord, nullif(trim(regexp_replace(regexp_replace(regexp_extract(lower(text), '^\s*(chương|mục|điều|phần)\s+([ivxlcdm]+|\d+)(?:$|[^\pL\pN_])', 0), '[^\pL\pN]+$', ''), '\s+', ' ', 'g')), '') AS label FROM h""")
+def heading_label(spark, sf):
+    return headings(spark, sf).select("doc", "ord", T.heading_label(F.col("text")).alias("label"))
+
+
+@query("f_similarity", "SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 9) AS similarity FROM part")
+def similarity(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(T.similarity(F.col("p_name"), F.col("p_type")), 9).alias("similarity"))
+
+
+@query("d19_numerals", """WITH n AS (SELECT o_orderkey, (o_orderkey % 3999 + 1)::INT AS n FROM orders) SELECT o_orderkey, repeat('M', n // 1000) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1]
+  || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1] AS roman, n AS value, repeat(chr(97 + (n % 60) % 26), (n % 60) // 26 + 1) AS letters FROM n""")
+def numerals(spark, sf):
+    o = table(spark, sf, "orders").withColumn("n", (F.col("o_orderkey") % 3999 + 1).cast("int"))
+    return o.select("o_orderkey", T.roman(F.col("n")).alias("roman"), T.roman_value(T.roman(F.col("n"))).alias("value"), T.letters(F.col("n") % 60 + 1).alias("letters"))
+
+
+@query("f_path_parts", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, '/body' || repeat('/tbl[' || l_linenumber || ']/tr[' || l_partkey % 5 || ']/tc[1]', (l_partkey % 3)::INT) || CASE WHEN l_suppkey % 7 = 0 THEN '/txbxContent' ELSE '' END || '/p[' || l_suppkey || ']' AS p FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_partkey, p, len(regexp_extract_all(p, '/tbl\\[')) AS depth, nullif(regexp_extract(p, '^(.*/tbl\\[\\d+\\])', 1), '') AS "table", nullif(regexp_extract(p, '^(.*/tr\\[\\d+\\])', 1), '') AS "row", nullif(regexp_extract(p, '^(.*/tc\\[\\d+\\])', 1), '') AS cell, contains(p, '/txbxContent') AS text_box FROM l""")
+def path_parts(spark, sf):
+    step = F.concat(F.lit("/tbl["), F.col("l_linenumber"), F.lit("]/tr["), F.col("l_partkey") % 5, F.lit("]/tc[1]"))
+    p = F.concat(F.lit("/body"), F.repeat(step, (F.col("l_partkey") % 3).cast("int")), F.when(F.col("l_suppkey") % 7 == 0, "/txbxContent").otherwise(""), F.lit("/p["), F.col("l_suppkey"), F.lit("]"))
+    return table(spark, sf, "lineitem").withColumn("p", p).withColumn("x", T.path_parts(F.col("p"))).select("l_orderkey", "l_linenumber", "l_partkey", "p", "x.*")
+
+
+@query("f_repaired", r"""SELECT p_partkey, replace(regexp_replace(trim(regexp_replace(p_name, '\s+', ' ', 'g')), '\s+([.,;:!?)\]])', '\1', 'g'), '( ', '(') AS text FROM part""")
+def repaired(spark, sf):
+    """Names of parts, with blanks put before full stops and single letters set apart; repaired, they are as before."""
+    t = F.concat(F.lit("( "), F.col("p_name"), F.lit(" ) ."))
+    return table(spark, sf, "part").select("p_partkey", F.regexp_extract(T.repaired(t), r"^\((.*)\)\.$", 1).alias("text"))
+
+
+@query("f_json_field", """SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string(props, '$.k') END AS value, CASE WHEN NOT json_valid(props) THEN 'NOT_JSON' WHEN json_type(props, '$.k') IS NULL THEN 'MISSING' WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'OK' ELSE 'WRONG_KIND' END AS state FROM events""")
+def json_field(spark, sf):
+    return table(spark, sf, "events").withColumn("x", T.json_field(F.col("props"), "k", "number")).select("event_id", "x.*")
