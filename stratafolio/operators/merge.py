@@ -8,27 +8,6 @@ from pyspark.sql import functions as F
 Names = list[str]
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """How often a part stands in a text, without overlaps; 0 for an empty part."""
-    return F.when(F.length(part) > 0, (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).otherwise(0).cast("int")
-
-
-def bound(quotes: DataFrame, units: DataFrame, source: Names, reach: int = 3) -> DataFrame:
-    """Where a quote (q_id, unit, quote) stands: EXACT once in its unit, AMBIGUOUS more often there, NEIGHBOUR once in all within
-    ``reach`` units, FOLDED once there in any case, else MISSING; with the unit and the place from 1. Only units near the one that a
-    quote names are looked at."""
-    near = quotes.join(units.withColumnRenamed("ord", "at"), source).filter(F.abs(F.col("at") - F.col("unit")) <= reach)
-    seen = near.withColumn("n", occurrences(F.col("text"), F.col("quote"))).withColumn("m", occurrences(F.lower("text"), F.lower("quote")))
-    own = F.col("at") == F.col("unit")
-    found = seen.groupBy(*source, "q_id", "unit").agg(
-        F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("here"), F.sum("n").alias("near"), F.coalesce(F.sum(F.when(own, F.col("m"))), F.lit(0)).alias("folded"),
-        F.max(F.when(own, F.instr(F.col("text"), F.col("quote")))).alias("place"), F.min(F.when(F.col("n") > 0, F.col("at"))).alias("first"),
-    )
-    status = F.when(F.col("here") == 1, "EXACT").when(F.col("here") > 1, "AMBIGUOUS").when(F.col("near") == 1, "NEIGHBOUR").when(F.col("folded") == 1, "FOLDED").otherwise("MISSING")
-    out = found.withColumn("status", status)
-    return out.select(*source, "q_id", "status", F.when(F.col("status").isin("EXACT", "AMBIGUOUS"), F.col("unit")).when(F.col("status") == "NEIGHBOUR", F.col("first")).alias("bound_unit"))
-
-
 def outline_diff(old: DataFrame, new: DataFrame, doc: Names, key: str, level: str, parent: str) -> DataFrame:
     """Headings of two versions by key: ADDED, REMOVED, LEVEL, PARENT (several may hold), SAME."""
     a = old.select(*doc, key, F.col(level).alias("old_level"), F.col(parent).alias("old_parent"), F.lit(True).alias("in_old"))

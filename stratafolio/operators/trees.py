@@ -95,3 +95,42 @@ def prefix_parents(rows: DataFrame, doc: Names, order: str, path: str) -> DataFr
     met = marks.unionByName(asks).withColumn("parent", F.last(F.when(F.col("mark_"), F.col(order)), ignorenulls=True).over(w))
     answered = met.filter("NOT mark_").drop("key_", "mark_")
     return answered.unionByName(rows.filter(F.size(path) <= 1).withColumn("parent", F.lit(None).cast(dict(rows.dtypes)[order])))
+
+
+def materialised(proposals: DataFrame, doc: Names, route: str, id_: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """Elements with ids made of the route and their own id, the same in every run, and the edges (parent, child) between them; a parent
+    that isn't among the elements makes no edge."""
+    name = lambda c: F.concat(F.lit(f"structural:{route}:"), F.col(c).cast("string"))
+    elements = proposals.withColumn("element", name(id_))
+    known = proposals.select(*doc, F.col(id_).alias(parent)).distinct()
+    edges = proposals.join(known, [*doc, parent], "left_semi").select(*doc, name(parent).alias("parent"), name(id_).alias("child")).distinct()
+    return elements, edges
+
+
+def admitted(elements: DataFrame, edges: DataFrame, doc: Names) -> DataFrame:
+    """Elements with the parent that the edges give them, whatever they claim themselves, and state: DUPLICATE for an id that stands
+    several times, SEVERAL_PARENTS, OK."""
+    given = edges.groupBy(*doc, F.col("child").alias("element")).agg(F.count_distinct("parent").alias("n_"), F.min("parent").alias("given_"))
+    times = F.count(F.lit(1)).over(Window.partitionBy(*doc, "element"))
+    met = elements.select(*doc, "element").withColumn("times_", times).join(given, [*doc, "element"], "left")
+    state = F.when(F.col("times_") > 1, "DUPLICATE").when(F.col("n_") > 1, "SEVERAL_PARENTS").otherwise("OK")
+    return met.withColumn("state", state).select(*doc, "element", F.when(F.col("state") == "OK", F.col("given_")).alias("parent"), "state")
+
+
+def titles(sections: DataFrame, doc: Names, order: str, level: str, shared: Column) -> DataFrame:
+    """Adds title: leading sections that hold everything after them, so that chains are compared without them. The run of titles ends
+    with the first section that something later stands beside or above, and before one whose key ``shared`` says another document has."""
+    after = Window.partitionBy(*doc).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    upto = Window.partitionBy(*doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    holds = (F.min(level).over(after) > F.col(level)) & ~F.coalesce(shared, F.lit(False))
+    return sections.withColumn("holds_", F.coalesce(holds, F.lit(False))).withColumn("title", F.bool_and("holds_").over(upto)).drop("holds_")
+
+
+def final_rows(headings: DataFrame, grounding: DataFrame, doc: Names, node: str) -> DataFrame:
+    """The canonical heading of each fact (node, text, level, parent, status): its text as grounded in the source if it is, its level and
+    parent with the reason that they lack, and a fingerprint of what it says."""
+    met = headings.join(grounding.select(*doc, node, F.col("text").alias("grounded_")), [*doc, node], "left")
+    text = F.coalesce("grounded_", "text")
+    why = F.when(F.col("grounded_").isNull(), "NOT_GROUNDED").when(F.col("level").isNull(), "LEVEL_UNRESOLVED").when(F.col("parent").isNull() & (F.col("level") > 1), "PARENT_UNRESOLVED")
+    print_ = F.sha2(F.concat_ws(chr(31), text, F.coalesce(F.col("level").cast("string"), F.lit("")), F.coalesce(F.col("parent").cast("string"), F.lit(""))).cast("binary"), 256)
+    return met.select(*doc, node, text.alias("text"), "level", "parent", why.alias("reason"), print_.alias("fingerprint"))

@@ -71,3 +71,122 @@ def decision_runs(pairs: DataFrame, doc: Names, order: str, decision: str) -> Da
     w = Window.partitionBy(*doc).orderBy(order)
     out = pairs.withColumn("group_", F.sum(F.when(F.col(decision) == "SPLIT", 1).otherwise(0)).over(w))
     return out.groupBy(*doc, "group_").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("size")).drop("group_")
+
+
+#: The reasons of a structural proposal in the order in which they are looked for, and the deepest level.
+PROPOSAL_REASONS = (
+    "source-occurrence-not-grounded", "source-facts-missing", "invalid-proposed-sources", "unsupported-structural-type", "incompatible-structural-role",
+    "invalid-structural-level", "structural-parent-not-grounded",
+)
+DEEPEST_LEVEL = 9
+#: Fixed value: the facts of an occurrence that a proposal names must lie in these roles of a fact's parts.
+PART_ROLES = ("label", "value", "text")
+
+
+def selected_sources(proposed: Column, observed: Column) -> Column:
+    """The proposed sources (id, start, end) if every one lies in an observed source's raw span and no id is named twice, else none:
+    one bad part empties the list. A null list proposes all that was observed."""
+    inside = F.forall(proposed, lambda p: F.exists(observed, lambda o: (o["id"] == p["id"]) & (o["start"] <= p["start"]) & (p["start"] < p["end"]) & (p["end"] <= o["end"])))
+    distinct = F.size(F.array_distinct(F.transform(proposed, lambda p: p["id"]))) == F.size(proposed)
+    return F.when(proposed.isNull(), observed).when(inside & distinct, proposed).otherwise(F.slice(proposed, 1, 0))
+
+
+def proposal_reasons(proposals: DataFrame, occurrences: DataFrame, elements: DataFrame, doc: Names, roles: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Adds ``reason``, the first of ``PROPOSAL_REASONS`` that holds, and ``accepted_sources`` to proposals (occurrence, proposed, type,
+    role, level, parent). ``occurrences`` has (occurrence, observed), ``elements`` the known parents (element), and ``roles`` the
+    roles that each type may have."""
+    seen = occurrences.select(*doc, "occurrence", "observed", F.lit(True).alias("grounded_"))
+    parents = elements.select(*doc, F.col("element").alias("parent"), F.lit(True).alias("known_")).distinct()
+    met = proposals.join(seen, [*doc, "occurrence"], "left").join(parents, [*doc, "parent"], "left")
+    met = met.withColumn("accepted_sources", selected_sources(F.col("proposed"), F.col("observed")))
+    fits = F.lit(False)
+    for kind, allowed in roles.items():
+        fits = fits | ((F.col("type") == kind) & (F.col("role").isNull() | F.col("role").isin(*allowed)))
+    broken = [
+        F.col("grounded_").isNull(), F.coalesce(F.size("observed"), F.lit(0)) <= 0, F.size("accepted_sources") <= 0, ~F.col("type").isin(*roles), ~fits,
+        ~F.col("level").between(1, DEEPEST_LEVEL), F.col("parent").isNotNull() & F.col("known_").isNull(),
+    ]
+    return first_reason(met, list(zip(PROPOSAL_REASONS, broken, strict=True))).drop("grounded_", "known_")
+
+
+def heading_decisions(decisions: DataFrame, contexts: DataFrame, doc: Names, allowed: list[str], boundaries: Column) -> DataFrame:
+    """Adds ``reason`` to decisions (unit, origins, start, end): CONTEXT_MISSING where no unit has the id, ORIGIN_UNKNOWN where one of its
+    origins isn't ``allowed``, SPAN_OUTSIDE_TEXT, and OFF_BOUNDARY where either end isn't among the unit's ``boundaries``."""
+    met = decisions.join(contexts.withColumn("known_", F.lit(True)), [*doc, "unit"], "left")
+    strange = ~F.forall("origins", lambda o: o.isin(*allowed)) | (F.size("origins") == 0)
+    off = ~(F.array_contains(boundaries, F.col("start")) & F.array_contains(boundaries, F.col("end")))
+    rules = [("CONTEXT_MISSING", F.col("known_").isNull()), ("ORIGIN_UNKNOWN", strange), ("SPAN_OUTSIDE_TEXT", ~span_valid("start", "end", F.length("text"))), ("OFF_BOUNDARY", off)]
+    return first_reason(met, rules).drop("known_")
+
+
+def fact_reasons(parts: DataFrame, units: DataFrame, fact: Names, order: str) -> DataFrame:
+    """Per fact of parts (unit, role, start, end): the reason of its first part that fails (UNKNOWN_UNIT, ROLE_UNKNOWN, SPAN_OUTSIDE_TEXT),
+    LABEL_ONLY where no part is more than a label, DUPLICATE_OF an earlier sound fact with the same texts, or null. A fact with
+    one bad part is refused whole."""
+    met = parts.join(units.select("unit", F.col("text").alias("text_")), "unit", "left")
+    bad = [("UNKNOWN_UNIT", F.col("text_").isNull()), ("ROLE_UNKNOWN", ~F.col("role").isin(*PART_ROLES)), ("SPAN_OUTSIDE_TEXT", ~span_valid("start", "end", F.length("text_")))]
+    told = first_reason(met, bad, "bad_").withColumn("said_", F.expr("substr(text_, start + 1, end - start)"))
+    at = F.array_sort(F.collect_list(F.struct(order, "said_")))
+    facts = told.groupBy(*fact).agg(F.min_by("bad_", F.when(F.col("bad_").isNotNull(), F.col(order))).alias("bad_"), F.bool_and(F.col("role") == "label").alias("labels_"), F.array_join(F.transform(at, lambda x: x["said_"]), chr(31)).alias("key_"))
+    sound = F.col("bad_").isNull() & ~F.col("labels_")
+    known = facts.withColumn("key_", F.when(sound, F.sha2(F.col("key_").cast("binary"), 256)))
+    firsts = known.filter("key_ IS NOT NULL").groupBy("key_").agg(F.min(F.struct(*fact)).alias("first_"))
+    met = known.join(firsts, "key_", "left")
+    reason = F.coalesce("bad_", F.when(F.col("labels_"), "LABEL_ONLY"), F.when(F.col("first_") != F.struct(*fact), "DUPLICATE_OF"))
+    return met.select(*fact, reason.alias("reason"))
+
+
+def fact_flags(parts: DataFrame, fact: Names) -> DataFrame:
+    """What a reader must look at in facts whose parts (role, source, unit, table, row, merged, path_certain, label_unit) are sound, in
+    this order: CROSS_SOURCE, MULTIPLE_UNITS, MULTIPLE_VALUES, CROSS_ROW_OR_TABLE, MERGED_CELL, PATH_UNCERTAIN, LABEL_NOT_ROW_LABEL.
+    The last one: a table cell names its row's label, the fact has labels, and that one isn't among them."""
+    several = lambda *c: F.count_distinct(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c]) > 1
+    labels = F.collect_set(F.when(F.col("role") == "label", F.col("unit")))
+    asked = F.collect_set(F.when(F.col("table").isNotNull() & F.col("label_unit").isNotNull(), F.col("label_unit")))
+    seen = parts.groupBy(*fact).agg(
+        several("source").alias("CROSS_SOURCE"), several("unit").alias("MULTIPLE_UNITS"), (F.count_if(F.col("role") == "value") > 1).alias("MULTIPLE_VALUES"),
+        several("table", "row").alias("CROSS_ROW_OR_TABLE"), F.bool_or("merged").alias("MERGED_CELL"), F.bool_or(~F.col("path_certain")).alias("PATH_UNCERTAIN"),
+        ((F.size(labels) > 0) & (F.size(F.array_except(asked, labels)) > 0)).alias("LABEL_NOT_ROW_LABEL"),
+    )
+    names = [c for c in seen.columns if c not in fact]
+    return seen.select(*fact, F.array_compact(F.array(*[F.when(F.col(n), n) for n in names])).alias("flags"))
+
+
+def run_state(runs: DataFrame, by: Names, failures: Column, gaps: Column, refusals: Column) -> DataFrame:
+    """Whether a run is COMPLETE: without a failure, an unread gap or a refusal in any of its parts; else the first of FAILED, GAPS and
+    REFUSED that holds."""
+    seen = runs.groupBy(*by).agg(F.sum(failures).alias("f_"), F.sum(gaps).alias("g_"), F.sum(refusals).alias("r_"))
+    return seen.withColumn("state", F.when(F.col("f_") > 0, "FAILED").when(F.col("g_") > 0, "GAPS").when(F.col("r_") > 0, "REFUSED").otherwise("COMPLETE")).drop("f_", "g_", "r_")
+
+
+def verified(numbered: Column, gaps: Column) -> Column:
+    """Whether a paragraph's looks are known: its numbering is resolved and nothing of its style is missing."""
+    return F.coalesce(numbered, F.lit(False)) & (F.coalesce(F.size(gaps), F.lit(0)) <= 0)
+
+
+def upload_route(said: Column, found: Column) -> Column:
+    """Whether a file may go where its name says: by its bytes (``found``) and not by what was said of it."""
+    return F.when(found.isNull() | (found == "unknown"), "UNSUPPORTED").when(~said.eqNullSafe(found), "KIND_DIFFERS")
+
+
+def chain_conflicts(nodes: DataFrame, doc: Names, node: str, order: str, parent: str) -> DataFrame:
+    """Adds conflict, the first trouble met on the way from a heading to its root, and where: ANCESTOR_MISSING (no such heading),
+    ANCESTOR_OUTSIDE_TREE (NONE), ANCESTOR_UNRESOLVED, PARENT_UNAVAILABLE (no parent is given), or PARENT_NOT_EARLIER; null where
+    the chain leads to ROOT. Each round doubles the steps that a pointer spans."""
+    from stratafolio.storage import written
+
+    p = F.col(parent)
+    above = nodes.select(*doc, F.col(node).alias(parent), F.col(order).alias("o_"), F.lit(True).alias("known_"))
+    own = (
+        F.when(p.isNull(), "PARENT_UNAVAILABLE").when(p == "NONE", "ANCESTOR_OUTSIDE_TREE").when(p == "UNRESOLVED", "ANCESTOR_UNRESOLVED")
+        .when(p == "ROOT", "ROOT").when(F.col("known_").isNull(), "ANCESTOR_MISSING").when(F.col("o_") >= F.col(order), "PARENT_NOT_EARLIER")
+    )
+    state = nodes.join(above, [*doc, parent], "left").select(*nodes.columns, own.alias("end_"), F.col(node).alias("at_"), F.when(own.isNull(), p).alias("next_"))
+    while True:
+        state = written(state, "chain-conflicts")
+        if state.filter("next_ IS NOT NULL").isEmpty():
+            break
+        jump = state.select(*doc, F.col(node).alias("next_"), F.col("end_").alias("e_"), F.col("at_").alias("a_"), F.col("next_").alias("n_"))
+        met = state.join(jump, [*doc, "next_"], "left")
+        state = met.select(*nodes.columns, F.coalesce("end_", "e_").alias("end_"), F.when(F.col("end_").isNull(), F.col("a_")).otherwise(F.col("at_")).alias("at_"), F.when(F.col("end_").isNull(), F.col("n_")).alias("next_"))
+    return state.withColumn("conflict", F.nullif("end_", F.lit("ROOT"))).withColumn("met_at", F.when(F.col("conflict").isNotNull(), F.col("at_"))).drop("end_", "at_", "next_")

@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stratafolio.operators import binding as B
 from stratafolio.operators import layout as L
 from stratafolio.operators import merge as M
 from stratafolio.operators import packing as P
@@ -95,15 +96,17 @@ def d18(spark, sf):
 
 
 @query("b3_quote_binding", f"""WITH {LINES}, q AS (SELECT doc_id, ord AS unit, CASE WHEN doc_id % 3 = 0 THEN translate(substr(text, 3, 12), '{LOWER}', '{UPPER}') ELSE substr(text, 3, 12) END AS quote FROM l WHERE ord = 2 AND length(text) > 20),
-  s AS (SELECT q.doc_id, unit, l.ord AS lo, (length(text) - length(replace(text, quote, ''))) // length(quote) AS n, (length(text) - length(replace(lower(text), lower(quote), ''))) // length(quote) AS m FROM q JOIN l ON l.doc_id = q.doc_id AND abs(l.ord - q.unit) <= 3),
-  f AS (SELECT doc_id, unit, coalesce(sum(n) FILTER (lo = unit), 0) AS here, sum(n) AS near, coalesce(sum(m) FILTER (lo = unit), 0) AS folded, min(lo) FILTER (n > 0) AS first FROM s GROUP BY ALL),
-  t AS (SELECT *, CASE WHEN here = 1 THEN 'EXACT' WHEN here > 1 THEN 'AMBIGUOUS' WHEN near = 1 THEN 'NEIGHBOUR' WHEN folded = 1 THEN 'FOLDED' ELSE 'MISSING' END AS status FROM f)
-  SELECT doc_id, status, CASE WHEN status IN ('EXACT', 'AMBIGUOUS') THEN unit WHEN status = 'NEIGHBOUR' THEN first END AS bound_unit FROM t""")
+  s AS (SELECT q.doc_id, unit, l.ord AS lo, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 12) = quote)) AS n, len(list_filter(range(1, length(text) + 1), lambda i: lower(substr(text, i, 12)) = lower(quote))) AS m FROM q JOIN l ON l.doc_id = q.doc_id AND abs(l.ord - q.unit) <= 3),
+  f AS (SELECT doc_id, unit, coalesce(sum(n) FILTER (lo = unit), 0) AS here, count(*) FILTER (lo <> unit AND n = 1) AS near, coalesce(sum(m) FILTER (lo = unit), 0) AS folded, min(lo) FILTER (lo <> unit AND n = 1) AS first FROM s GROUP BY ALL),
+  t AS (SELECT *, CASE WHEN here = 1 THEN 'EXACT' WHEN here > 1 THEN 'AMBIGUOUS' WHEN near = 1 THEN 'NEIGHBOUR' WHEN folded = 1 THEN 'CASE' ELSE 'MISSING' END AS status FROM f)
+  SELECT doc_id, status, CASE WHEN status IN ('EXACT', 'CASE') THEN unit WHEN status = 'NEIGHBOUR' THEN first END AS bound_unit FROM t""")
 def b3(spark, sf):
     l = lines(table(spark, sf, "documents")).select("doc_id", "ord", "text")  # noqa: E741
     part = F.substring("text", 3, 12)
-    q = l.filter((F.col("ord") == 2) & (F.length("text") > 20)).select("doc_id", F.lit(1).alias("q_id"), F.col("ord").alias("unit"), F.when(F.col("doc_id") % 3 == 0, F.translate(part, LOWER, UPPER)).otherwise(part).alias("quote"))
-    return M.bound(q, l, ["doc_id"]).select("doc_id", "status", "bound_unit")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.translate(part, LOWER, UPPER)).otherwise(part)
+    q = l.filter((F.col("ord") == 2) & (F.length("text") > 20)).select("doc_id", F.col("ord").cast("long").alias("unit"), quote.alias("quote"), F.lit("text").alias("role"))
+    units = l.withColumn("path", F.lit(None).cast("string")).withColumn("labels", F.lit(None).cast("array<string>"))
+    return B.bound(q, units, ["doc_id"]).select("doc_id", "status", "bound_unit")
 
 
 @query("a18_outline_diff", f"""WITH {H}, a AS (SELECT doc, id, level, parent FROM n WHERE id % 5 <> 0), b AS (SELECT doc, id, CASE WHEN id % 6 = 0 THEN level + 1 ELSE level END AS level, CASE WHEN id % 7 = 0 THEN 99 ELSE parent END AS parent FROM n WHERE id % 11 <> 0)
