@@ -22,6 +22,25 @@ def a9(spark, sf):
     return D.changes(pairs(spark, sf))
 
 
+@query("a11_table_diff")
+def a11(spark, sf):
+    """Each order's items as a table of four columns, and the same without its third row, with another price in each fifth and the first
+    row at the end."""
+    cell = lambda c: F.col(c).cast("string")
+    i = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("at"), F.array(cell("l_partkey"), cell("l_suppkey"), cell("l_quantity"), cell("l_shipdate")).alias("row"))
+    old = i.groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]).alias("old"))
+    priced = lambda r, k: F.when(k % 5 == 1, F.concat(F.slice(r, 1, 2), F.array(F.lit("sold")), F.slice(r, 4, 1))).otherwise(r)
+    less = F.transform(F.filter("old", lambda r, k: k != 2), priced)
+    return D.table_changes(old.withColumn("new", F.concat(F.slice(less, F.lit(2), F.greatest(F.size(less) - 1, F.lit(0))), F.slice(less, 1, 1))))
+
+
+@query("a2_text_hunks")
+def a2(spark, sf):
+    """Names of parts against their types and sizes."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("old"), F.concat_ws(" ", F.lower("p_type"), "p_name", F.col("p_size").cast("string")).alias("new"))
+    return D.text_hunks(p)
+
+
 @query("a10_one_sided", """WITH l AS (SELECT DISTINCT doc_id % 2 AS side, source, unnest(string_split(text, chr(10))) AS line, doc_id FROM documents),
   g AS (SELECT source, line, list_sort(list(DISTINCT side)) AS sides, count(*) AS times FROM l GROUP BY ALL) SELECT source, md5(line) AS line, times, sides[1] AS side FROM g WHERE len(sides) = 1""")
 def a10(spark, sf):
