@@ -27,7 +27,7 @@ def folded(rows: DataFrame, group: list[str], order: list[str | Column], columns
                 if k != key:
                     key, state = k, start()
                 out.append(step(state, *v))
-            arrow = arrow or {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[kind]
+            arrow = arrow or {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[kind]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, name])
 
     return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)

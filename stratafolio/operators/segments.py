@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafolio.operators.folds import folded
+
 
 def block_cosine(lines: DataFrame, k: int = 3) -> DataFrame:
     """Per gap after a line (doc_id, gap): the cosine of the word sets of the k lines before and the k after. A line's words go to the
@@ -15,3 +17,49 @@ def block_cosine(lines: DataFrame, k: int = 3) -> DataFrame:
     counts = spread.groupBy("doc_id", "gap", "word").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     sums = counts.groupBy("doc_id", "gap").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
     return sums.filter("aa > 0 AND bb > 0").select("doc_id", "gap", F.round(F.col("ab") / (F.sqrt("aa") * F.sqrt("bb")), 6).alias("cosine"))
+
+
+def depths(gaps: DataFrame, doc: list[str], gap: str, cosine: str) -> DataFrame:
+    """Adds depth to gaps: how far the cosine climbs from each to the peak on its left and to that on its right. A climb goes on while
+    the next gap's is no smaller; what it has reached is folded from either end."""
+
+    def climb(state: dict, c: float) -> float:
+        state["peak"] = state["peak"] if state["last"] is not None and state["last"] >= c else c
+        state["last"] = c
+        return state["peak"]
+
+    start = lambda: {"last": None, "peak": 0.0}
+    left = folded(gaps, doc, [gap], [cosine], start, climb, "left_", "double")
+    both = folded(left, doc, [F.desc(gap)], [cosine], start, climb, "right_", "double")
+    return both.withColumn("depth", F.round(F.col("left_") + F.col("right_") - 2 * F.col(cosine), 6)).drop("left_", "right_")
+
+
+def capped_windows(lines: DataFrame, doc: list[str], order: str, size: str, *, most: int = 48, most_size: int = 28_000) -> DataFrame:
+    """Adds window, from 0: lines in order, at most ``most`` of them and ``most_size`` in all; a larger line is a window by itself."""
+
+    def step(state: dict, n: int | None) -> int:
+        if state["lines"] and (state["lines"] == most or state["size"] + (n or 0) > most_size):
+            state.update(window=state["window"] + 1, lines=0, size=0)
+        state["lines"] += 1
+        state["size"] += n or 0
+        return state["window"]
+
+    return folded(lines, doc, [order], [size], lambda: {"window": 0, "lines": 0, "size": 0}, step, "window", "int")
+
+
+def stack_paths(rows: DataFrame, doc: list[str], order: str, heading: str, level: str, name: str) -> DataFrame:
+    """Adds path, the names of the headings that a row stands under joined by " > ", and certain: false from a heading whose level isn't
+    known up to the next one whose is. A heading's own name counts for the rows after it."""
+
+    def step(state: dict, is_heading: bool | None, deep: int | None, own: str | None) -> str:
+        told = f"{int(state['certain'])}{' > '.join(n for _, n in state['open'])}"
+        if is_heading:
+            if deep is None:
+                state["certain"] = False
+            else:
+                state["open"] = [x for x in state["open"] if x[0] < deep] + [(deep, own or "")]
+                state["certain"] = True
+        return told
+
+    out = folded(rows, doc, [order], [heading, level, name], lambda: {"open": [], "certain": True}, step, "told_", "string")
+    return out.withColumn("path", F.expr("substring(told_, 2)")).withColumn("certain", F.col("told_").startswith("1")).drop("told_")
