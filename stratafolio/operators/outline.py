@@ -104,3 +104,28 @@ def place_by_chain(sources: DataFrame, targets: DataFrame, by: Names, chain: str
     out = sources.join(found, [*by, chain], "left")
     status = F.when(F.col("n_").isNull(), "NEW").when(F.col("n_") > 1, "AMBIGUOUS").otherwise("EXACT")
     return out.withColumn("status", status).withColumn("target", F.when(F.col("n_") == 1, F.col("target"))).drop("n_")
+
+
+#: Confidence of a heading with a marker and without, what lowers it and by how much, and the labels that open a paragraph.
+CONFIDENCE, PENALTIES = (0.9, 0.7), {"needs_split": 0.1, "repeat": 0.2, "inline_label": 0.25, "in_table": 0.15}
+LONGEST_HEADING, MOST_REPEATS = 120, 2
+INLINE_LABEL = r"(?iu)^\s*(Nhận xét|Ghi chú|Lưu ý|Đánh giá|Thời gian|Địa điểm|Thành phần|Chủ trì|Thư ký|Căn cứ)\s*:"
+
+
+def confidence(rows: DataFrame, doc: Names, text: str, heading: str, *, in_table: Column, style: Column) -> DataFrame:
+    """Adds confidence (0.9 with a marker, else 0.7, less the penalties, 0 at least) and flags: needs_split for a heading of more than 120
+    characters, repeat_xN for a text that stands more than twice in its document (case and spacing aside), inline_label, in_table, and
+    marker_over_style where both a marker and a heading style speak for the line."""
+    key = F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
+    times = rows.groupBy(*doc, key.alias("key_")).agg(F.count(F.lit(1)).alias("times_"))
+    met = rows.withColumn("key_", key).join(times, [*doc, "key_"]).withColumn("marked_", marker(F.col(text)).isNotNull())
+    signs = {
+        "needs_split": F.length(heading) > LONGEST_HEADING, "repeat": F.col("times_") > MOST_REPEATS, "inline_label": F.col(text).rlike(INLINE_LABEL), "in_table": in_table,
+    }
+    holds = {n: F.coalesce(c, F.lit(False)) for n, c in signs.items()}
+    lost = sum((F.when(c, PENALTIES[n]).otherwise(0.0) for n, c in holds.items()), F.lit(0.0))
+    name = lambda n: F.concat(F.lit("repeat_x"), F.col("times_").cast("string")) if n == "repeat" else F.lit(n)
+    flags = [F.when(c, name(n)) for n, c in holds.items()] + [F.when(F.col("marked_") & F.coalesce(style, F.lit(False)), "marker_over_style")]
+    base = F.when(F.col("marked_"), CONFIDENCE[0]).otherwise(CONFIDENCE[1])
+    out = met.withColumn("confidence", F.greatest(F.round(base - lost, 2), F.lit(0.0))).withColumn("flags", F.array_compact(F.array(*flags)))
+    return out.drop("key_", "times_", "marked_")

@@ -47,6 +47,17 @@ def d7(spark, sf):
     return lines(table(spark, sf, "documents")).select("doc_id", "ord", F.expr("count(1) OVER (PARTITION BY doc_id, lower(text)) > 2").alias("repeated"))
 
 
+INLINE_SQL = O.INLINE_LABEL.replace("(?iu)", "(?i)")
+
+
+@query("d7_confidence", rf"""WITH {HEADINGS_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY doc, lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS times, CASE {MARKER_SQL} END IS NOT NULL AS marked, regexp_matches(text, '{INLINE_SQL}') AS inl FROM h)
+  SELECT doc, ord, greatest(round((CASE WHEN marked THEN 0.9 ELSE 0.7 END - CASE WHEN length(text) > 120 THEN 0.1 ELSE 0 END - CASE WHEN times > 2 THEN 0.2 ELSE 0 END - CASE WHEN inl THEN 0.25 ELSE 0 END - CASE WHEN ord % 4 = 0 THEN 0.15 ELSE 0 END)::DOUBLE, 2), 0) AS confidence,
+  list_filter([CASE WHEN length(text) > 120 THEN 'needs_split' END, CASE WHEN times > 2 THEN 'repeat_x' || times END, CASE WHEN inl THEN 'inline_label' END, CASE WHEN ord % 4 = 0 THEN 'in_table' END, CASE WHEN marked AND doc % 5 = 0 THEN 'marker_over_style' END], lambda x: x IS NOT NULL) AS flags FROM k""")
+def d7_confidence(spark, sf):
+    h = scalars.headings(spark, sf)
+    return O.confidence(h, ["doc"], "text", "text", in_table=F.col("ord") % 4 == 0, style=F.col("doc") % 5 == 0).select("doc", "ord", "confidence", "flags")
+
+
 @query("d8_format_rank", """SELECT o_custkey, o_orderkey, 20 + dense_rank() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 50000) DESC, (o_orderstatus = 'F') DESC) AS rank FROM orders""")
 def d8(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 50000).alias("size"), (F.col("o_orderstatus") == "F").alias("bold"))

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from stratafolio.plans import aggregates, decisions, geometry, headings, joins, lines, merging, outline, proposals, scalars, tools, trees, units, validators, versions, windows  # noqa: E402, F401
+from stratafolio.plans import aggregates, decisions, geometry, headings, joins, lines, merging, outline, proposals, scalars, scans, tools, trees, units, validators, versions, windows  # noqa: E402, F401
