@@ -1,5 +1,5 @@
-"""Trees of headings: depth from parent edges, parents from levels, chains, sections. All by windows within a document, or by joins
-whose number grows with the logarithm of the depth."""
+"""Trees of headings: depth from parent edges, parents from levels, chains, sections. All by windows within a document, or by one pass
+over it in order."""
 
 from __future__ import annotations
 
@@ -8,35 +8,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafolio.storage import written
+from stratafolio.operators.folds import folded
 
 Names = list[str]
 ROOT, OUTSIDE = 0, -1
 DEEPEST = 9
 
 
-def levels(nodes: DataFrame, doc: Names, order: str, parent: str, most_rounds: int = 20) -> DataFrame:
+def levels(nodes: DataFrame, doc: Names, order: str, parent: str) -> DataFrame:
     """Adds resolution and level to headings (order from 1; parent: an order, 0 for a root, -1 for outside the tree).
 
     A parent must exist, come earlier and be in the tree. A level exists only if the whole chain of parents leads to a root; it is
-    at most 9. Each round doubles the steps that a pointer spans.
+    at most 9. As parents come earlier, one pass in order is enough: a task holds the steps of one document's headings.
     """
-    up = nodes.select(*[F.col(d).alias(f"p_{d}") for d in doc], F.col(order).alias("p_"), F.col(parent).alias("pp_"))
-    known = nodes.join(up, [F.col(d) == F.col(f"p_{d}") for d in doc] + [F.col(parent) == F.col("p_")], "left").select(*nodes.columns, "p_", "pp_")
-    valid = F.col("p_").isNotNull() & (F.col("p_") < F.col(order)) & (F.col("pp_") != OUTSIDE) & (F.col(parent) > 0)
-    state = known.select(
-        *nodes.columns, F.when(F.col(parent) == ROOT, ROOT).when(valid, F.col("p_")).otherwise(F.lit(OUTSIDE)).cast("long").alias("at"), F.lit(1).alias("steps"),
-    )
-    for _ in range(most_rounds):
-        state = written(state, "tree-levels")  # a round reads its state twice
-        if state.filter("at > 0").isEmpty():
-            break
-        jump = state.select(*[F.col(d).alias(f"j_{d}") for d in doc], F.col(order).alias("j_at"), F.col("at").alias("j_next"), F.col("steps").alias("j_steps"))
-        joined = state.join(jump, [F.col(d) == F.col(f"j_{d}") for d in doc] + [F.col("at") == F.col("j_at")], "left")
-        state = joined.select(*nodes.columns, F.coalesce("j_next", "at").alias("at"), (F.col("steps") + F.coalesce("j_steps", F.lit(0))).alias("steps"))
-    resolved = F.col("at") == ROOT
-    kind = F.when(F.col(parent) == OUTSIDE, "outside").when(~resolved, "unresolved").when(F.col(parent) == ROOT, "root").otherwise("parent")
-    return state.select(*nodes.columns, kind.alias("resolution"), F.when(resolved, F.least("steps", F.lit(DEEPEST))).alias("level"))
+
+    def step(steps: dict[int, int], own: int | None, up: int | None) -> int:
+        if up == OUTSIDE:
+            return OUTSIDE
+        found = 1 if up == ROOT else steps[up] + 1 if up in steps else 0
+        if found and own is not None:
+            steps[own] = found
+        return found
+
+    w = folded(nodes, doc, [order], [order, parent], dict, step, "steps_", "long")
+    steps = F.col("steps_")
+    kind = F.when(steps == OUTSIDE, "outside").when(steps == 0, "unresolved").when(F.col(parent) == ROOT, "root").otherwise("parent")
+    return w.withColumn("resolution", kind).withColumn("level", F.when(steps > 0, F.least(steps, F.lit(DEEPEST)).cast("int"))).drop("steps_")
 
 
 def _last_at(doc: Names, order: str, level: str, value: str) -> list[Column]:
