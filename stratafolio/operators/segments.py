@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafolio.operators.folds import folded
 
 
 def block_cosine(lines: DataFrame, k: int = 3) -> DataFrame:
-    """Per gap after a line (doc_id, gap): the cosine of the word sets of the k lines before and the k after. A line's words go to the
-    2k gaps around it, so this is one explode and two aggregations, whatever the document's length."""
-    words = lines.select("doc_id", "ord", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    sides = [F.struct((F.col("ord") + d).alias("gap"), F.lit(0).alias("side")) for d in range(k)] + [F.struct((F.col("ord") - d).alias("gap"), F.lit(1).alias("side")) for d in range(1, k + 1)]
-    spread = words.select("doc_id", "word", F.explode(F.array(*sides)).alias("s")).select("doc_id", "word", "s.gap", "s.side").distinct()
-    counts = spread.groupBy("doc_id", "gap", "word").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    sums = counts.groupBy("doc_id", "gap").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return sums.filter("aa > 0 AND bb > 0").select("doc_id", "gap", F.round(F.col("ab") / (F.sqrt("aa") * F.sqrt("bb")), 6).alias("cosine"))
+    """Per gap after a line (doc_id, gap): the cosine of the word sets of the k lines before and the k after. Texts are shuffled once, by
+    document; words are cut after that and meet in a window, so no word is shuffled. Where lines are left out, the gaps between two
+    are those that k lines reach."""
+    there = lines.select("doc_id", F.col("ord").cast("int").alias("ord"), "text").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    by = Window.partitionBy("doc_id").orderBy("ord")
+    around = F.collect_list(F.struct("ord", "words")).over(by.rangeBetween(1 - k, 2 * k - 1))
+    cut = there.select("doc_id", "ord", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    near = cut.select("doc_id", "ord", around.alias("near"), F.lead("ord").over(by).alias("next")).filter("next > ord")
+    gaps = near.select("doc_id", F.explode(F.sequence("ord", F.least(F.col("ord") + k - 1, F.col("next") - 1))).alias("gap"), "near")
+    side = lambda first, last: F.array_distinct(F.flatten(F.transform(F.filter("near", lambda x: x["ord"].between(F.col("gap") + first, F.col("gap") + last)), lambda x: x["words"])))
+    sides = gaps.select("doc_id", "gap", side(1 - k, 0).alias("a"), side(1, k).alias("b"))
+    sums = sides.select("doc_id", "gap", F.size(F.array_intersect("a", "b")).alias("ab"), F.size("a").alias("aa"), F.size("b").alias("bb"))
+    cosine = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.round(F.col("ab") / (F.sqrt("aa") * F.sqrt("bb")), 6))
+    return sums.select("doc_id", "gap", cosine.alias("cosine")).filter("cosine IS NOT NULL")
 
 
 def depths(gaps: DataFrame, doc: list[str], gap: str, cosine: str) -> DataFrame:

@@ -7,6 +7,7 @@ from math import sqrt
 
 import pytest
 
+from stratafolio.operators.segments import block_cosine
 from stratafolio.plans import registry
 from stratafolio.session import table
 
@@ -52,3 +53,18 @@ def test_repeated_text_of_all_languages(spark, texts):
     counts = Counter((d % 50, k) for (d, _), k in keys.items())
     got = {(r["page"], r["ord"]): r["others"] for r in registry.QUERIES["ag2_repeated_text"](spark, SF).collect()}
     assert got == {(d, i): counts[d % 50, k] - 1 if k else 0 for (d, i), k in keys.items()}
+
+
+def test_block_cosine_shuffles_no_word(spark):
+    """Texts are dealt once by document; lines that are left out leave the gaps that the others reach."""
+    rows = [(1, o, t) for o, t in ((1, "a b c"), (2, "b c"), (5, "c d"), (6, ""), (7, "a d"), (15, "a"))] + [(2, 1, None), (2, 2, "a"), (2, 3, "A b"), (3, 1, "a")]
+    df = block_cosine(spark.createDataFrame(rows, "doc_id int, ord int, text string"), 3)
+    want = {}
+    for doc in (1, 2, 3):
+        for gap in range(20):
+            a, b = (set().union(*[re.findall("[a-z]+", (t or "").lower()) for d, o, t in rows if d == doc and first <= o - gap <= last]) for first, last in ((-2, 0), (1, 3)))
+            if a and b:
+                want[doc, gap] = len(a & b) / sqrt(len(a) * len(b))
+    assert {(r["doc_id"], r["gap"]): r["cosine"] for r in df.collect()} == pytest.approx(want, abs=1e-6)
+    dealt = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert dealt and all("hashpartitioning(doc_id#" in x and "word" not in x and "gap" not in x for x in dealt)
