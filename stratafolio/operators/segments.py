@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafolio.operators.folds import folded
@@ -28,16 +28,14 @@ def block_cosine(lines: DataFrame, k: int = 3) -> DataFrame:
 
 def depths(gaps: DataFrame, doc: list[str], gap: str, cosine: str) -> DataFrame:
     """Adds depth to gaps: how far the cosine climbs from each to the peak on its left and to that on its right. A climb goes on while
-    the next gap's is no smaller; what it has reached is folded from either end."""
+    the next gap's is no smaller, so a peak is the last gap, in either direction, that the one before it doesn't reach."""
 
-    def climb(state: dict, c: float) -> float:
-        state["peak"] = state["peak"] if state["last"] is not None and state["last"] >= c else c
-        state["last"] = c
-        return state["peak"]
+    def peak(order: Column) -> Column:
+        by = Window.partitionBy(*doc).orderBy(order)
+        before = F.lag(cosine).over(by)
+        return F.last(F.when(before.isNull() | (before < F.col(cosine)), F.col(cosine)), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
 
-    start = lambda: {"last": None, "peak": 0.0}
-    left = folded(gaps, doc, [gap], [cosine], start, climb, "left_", "double")
-    both = folded(left, doc, [F.desc(gap)], [cosine], start, climb, "right_", "double")
+    both = gaps.withColumn("left_", peak(F.col(gap))).withColumn("right_", peak(F.desc(gap)))
     return both.withColumn("depth", F.round(F.col("left_") + F.col("right_") - 2 * F.col(cosine), 6)).drop("left_", "right_")
 
 

@@ -63,6 +63,13 @@ def test_depths(spark):
             assert abs(got[d, g] - (c[a] + c[b] - 2 * c[g])) < 1e-6
 
 
+def test_depths_deal_nothing_anew(spark):
+    """Peaks come from the windows that the cosines' shuffle has dealt, without Python."""
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(("a b", "a", "a c", "d", "d e"), 1)], "doc_id int, ord int, text string")
+    plan = segments.depths(segments.block_cosine(lines), ["doc_id"], "gap", "cosine")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" not in plan
+
+
 def test_page_windows(numbered):
     rows, df = numbered
     lines = df.selectExpr("doc", "ord", "ord div 40 AS page", "ord div 9 AS block")
