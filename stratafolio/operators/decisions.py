@@ -18,11 +18,14 @@ def projected(elements: DataFrame, overrides: DataFrame, key: Names, columns: Na
 def boundaries(text: Column) -> Column:
     """Offsets (in code points) where a token may begin or end: 0, the text's end, both sides of anything but letters and digits, and
     where letters and digits meet."""
-    kind = lambda c: F.when(c.rlike(r"\p{N}"), 1).when(c.rlike(r"\p{L}"), 2).otherwise(0)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    kinds = F.transform(chars, kind)
-    edges = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), lambda i: (F.get(kinds, i - 1) != F.get(kinds, i)) | (F.get(kinds, i) == 0))
-    return F.when(F.size(chars) > 0, F.concat(F.array(F.lit(0)), edges.cast("array<int>"), F.array(F.size(chars)))).otherwise(F.array(F.lit(0)))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{N}", "1"), r"\p{L}", "a"), "[^1a]", ".")
+
+    def places(kinds: Column) -> Column:
+        edges = F.filter(F.sequence(F.lit(1), F.greatest(F.size(kinds) - 1, F.lit(1))), lambda i: (F.get(kinds, i - 1) != F.get(kinds, i)) | (F.get(kinds, i) == "."))
+        return F.when(F.size(kinds) > 0, F.concat(F.array(F.lit(0)), edges, F.array(F.size(kinds)))).otherwise(F.array(F.lit(0)))
+
+    # a lambda's variable is worked out once; an expression inside a lambda is, for every element
+    return F.get(F.transform(F.array(F.filter(F.split(shape, ""), lambda c: c != "")), places), F.lit(0))
 
 
 def worst_status(parts: DataFrame, by: Names, conflict: Column, confirmed: Column) -> DataFrame:
