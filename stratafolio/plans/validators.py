@@ -62,7 +62,7 @@ def fv10(spark, sf):
   SELECT event_id, CASE WHEN len IS NULL THEN 'UNKNOWN_SOURCE' WHEN type NOT IN ('click', 'view') THEN 'TYPE_UNKNOWN' WHEN NOT (start >= 0 AND stop > start AND stop <= len) THEN 'SPAN_OUTSIDE_TEXT' WHEN again THEN 'DUPLICATE' END AS reason FROM a""")
 def fv11(spark, sf):
     e = table(spark, sf, "events")
-    p = e.select("event_id", (F.col("user_id") % 120).alias("source_id"), F.col("event_type").alias("type"), (F.col("event_id") % 40).cast("int").alias("start"), F.round(F.col("event_id") % 40 + F.col("value")).cast("int").alias("end"))
+    p = e.select("event_id", (F.col("user_id") % 120).alias("source_id"), F.col("event_type").alias("type"), (F.col("event_id") % 40).cast("int").alias("start"), F.rint(F.col("event_id") % 40 + F.col("value")).cast("int").alias("end"))
     u = table(spark, sf, "customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("source_id"), F.lit(60).alias("length"))
     return V.checked(p, u, ["click", "view"], ["source_id", "type", "start"], ["event_id"]).select("event_id", "reason")
 

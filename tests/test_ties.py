@@ -17,3 +17,9 @@ def test_boundaries_of_a_long_text(spark):
     began = time.time()
     got = {r["id"]: r["places"] for r in df.select("id", decisions.boundaries(F.col("text")).alias("places")).collect()}
     assert got == {1: want, 2: [0], 3: [0], 4: [0, 1], 5: [0, 1], 6: [0, 1, 2, 3]} and time.time() - began < 20
+
+
+def test_entity_ends_at_halves_round_to_even(spark, tmp_path):
+    spark.createDataFrame([(30, 1, "click", 30.5), (20, 1, "click", 40.25), (31, 1, "click", 29.5)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {r["event_id"]: r["reason"] for r in registry.QUERIES["fv11_entities"](spark, str(tmp_path)).collect()} == {30: None, 20: None, 31: None}
