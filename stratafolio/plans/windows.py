@@ -176,4 +176,6 @@ def st4(spark, sf):
 
 @query("st5_arg_max", """SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS best, arg_min(o_orderkey, o_totalprice) AS worst FROM orders GROUP BY o_custkey""")
 def st5(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("best"), F.min_by("o_orderkey", "o_totalprice").alias("worst"))
+    """Of equal prices the first order's, which DuckDB meets first; orders without a price take no part."""
+    at = lambda key: F.when(F.col("o_totalprice").isNotNull() & F.col("o_orderkey").isNotNull(), F.struct("o_totalprice", key))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", at((-F.col("o_orderkey")).alias("k"))).alias("best"), F.min_by("o_orderkey", at(F.col("o_orderkey").alias("k"))).alias("worst"))

@@ -8,6 +8,11 @@ from stratafolio.operators import decisions
 from stratafolio.plans import registry
 
 
+def orders(spark, folder, rows):
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
 def test_boundaries_of_a_long_text(spark):
     """Time grows with the text, not with its square."""
     text = "Điều 12. a-b 3c\n" * 500
@@ -23,3 +28,9 @@ def test_entity_ends_at_halves_round_to_even(spark, tmp_path):
     spark.createDataFrame([(30, 1, "click", 30.5), (20, 1, "click", 40.25), (31, 1, "click", 29.5)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(1,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     assert {r["event_id"]: r["reason"] for r in registry.QUERIES["fv11_entities"](spark, str(tmp_path)).collect()} == {30: None, 20: None, 31: None}
+
+
+def test_of_equal_prices_the_first_order_is_taken(spark, tmp_path):
+    rows = [(3, 1, 5.0), (1, 1, 5.0), (2, 1, 5.0), (4, 2, None), (5, 2, 7.0), (6, 2, 7.0), (7, 3, None)]
+    got = registry.QUERIES["st5_arg_max"](spark, orders(spark, tmp_path, sorted(rows))).collect()
+    assert {r["o_custkey"]: (r["best"], r["worst"]) for r in got} == {1: (1, 1), 2: (5, 5), 3: (None, None)}
