@@ -92,7 +92,7 @@ def w6_candidates(spark, sf):
   round(o_totalprice - lag(o_totalprice + 10) OVER w, 2) AS gap_before, round(lead(o_totalprice) OVER w - (o_totalprice + 10), 2) AS gap_after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_totalprice + 10)""")
 def w7(spark, sf):
     df = table(spark, sf, "orders").select(F.col("o_custkey").alias("row"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("left"), (F.col("o_totalprice") + 10).alias("right"))
-    out = W.segment_gaps(df, ["row"], "left", "right")
+    out = W.segment_gaps(df, ["row"], "left", "right", ["id"])
     return out.select("row", "id", "segment", "segments", F.round("gap_before", 2).alias("gap_before"), F.round("gap_after", 2).alias("gap_after"))
 
 

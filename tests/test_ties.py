@@ -34,3 +34,8 @@ def test_of_equal_prices_the_first_order_is_taken(spark, tmp_path):
     rows = [(3, 1, 5.0), (1, 1, 5.0), (2, 1, 5.0), (4, 2, None), (5, 2, 7.0), (6, 2, 7.0), (7, 3, None)]
     got = registry.QUERIES["st5_arg_max"](spark, orders(spark, tmp_path, sorted(rows))).collect()
     assert {r["o_custkey"]: (r["best"], r["worst"]) for r in got} == {1: (1, 1), 2: (5, 5), 3: (None, None)}
+
+
+def test_segments_at_one_place_go_by_id(spark, tmp_path):
+    got = registry.QUERIES["w7_segment_gaps"](spark, orders(spark, tmp_path, [(i, 1, 5.0) for i in (9, 4, 7, 1, 8)] + [(2, 1, 1.0)])).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["segment"])] == [2, 1, 4, 7, 8, 9]
