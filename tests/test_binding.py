@@ -52,3 +52,8 @@ def test_edits_against_all_windows():
             assert B.within_edits(text, quote) == closest(text, quote), (text, quote)
             hits += closest(text, quote) is not None
     assert hits > 40
+
+
+def test_places_that_overlap_are_several():
+    assert B.bind("AN AN AN", "text", 2, {2: "an an an an an b"}, None, []) == (None, None, None, "MISSING")
+    assert B.bind("AN AN AN", "text", 2, {2: "x an an an b"}, None, []) == (2, 2, 10, "CASE")
