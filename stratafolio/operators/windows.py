@@ -117,9 +117,9 @@ def near_change(df: DataFrame, doc: Names, order: str, changed: Column, reach: i
 
 
 def segment_gaps(df: DataFrame, row: Names, left: str, right: str, ties: Names = ()) -> DataFrame:
-    """Segments of one visual row from left to right: number, count and the gaps to both neighbours. Of segments at one place, ``ties``
-    says which comes first."""
-    w = Window.partitionBy(*row).orderBy(left, right, *ties)
+    """Segments of one visual row from left to right: number, count and the gaps to both neighbours. Segments without a place come last; of
+    segments at one place, ``ties`` says which comes first."""
+    w = Window.partitionBy(*row).orderBy(F.asc_nulls_last(left), F.asc_nulls_last(right), *ties)
     return df.withColumns({
         "segment": F.row_number().over(w), "segments": F.count(F.lit(1)).over(Window.partitionBy(*row)),
         "gap_before": F.col(left) - F.lag(right).over(w), "gap_after": F.lead(left).over(w) - F.col(right),

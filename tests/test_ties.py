@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from stratafolio.operators import decisions
@@ -39,3 +40,14 @@ def test_of_equal_prices_the_first_order_is_taken(spark, tmp_path):
 def test_segments_at_one_place_go_by_id(spark, tmp_path):
     got = registry.QUERIES["w7_segment_gaps"](spark, orders(spark, tmp_path, [(i, 1, 5.0) for i in (9, 4, 7, 1, 8)] + [(2, 1, 1.0)])).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["segment"])] == [2, 1, 4, 7, 8, 9]
+
+
+def test_segments_without_a_place_and_gaps_at_halves_as_the_sql_says(spark, tmp_path):
+    inf = float("inf")
+    prices = [[5.0, None, 7.0, 40.5, inf, -inf], [0.0, 10.285, 20.57, 30.575, -3.0], [5.0, 15.0, 24.999, 34.9985, 1e17, 1e307], [None], [9.0], [None, 2.0, 1.0], [100.1, 110.1, 120.1]]
+    folder = orders(spark, tmp_path, [(10 * k + i, k, x) for k, row in enumerate(prices) for i, x in enumerate(row)])
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    want = duck.sql(registry.ORACLES["w7_segment_gaps"]).fetchall()
+    got = registry.QUERIES["w7_segment_gaps"](spark, folder).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
